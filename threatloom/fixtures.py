@@ -72,7 +72,7 @@ DIM_LINK = ("k source url anchor_text", [
     (12, "anchor", "https://xn--pple-43d.com/id", "Apple ID"),
     (13, "image", "https://tracker.a.b.c.d.example.net:8080/p.gif?%41%42%43", None),
     (14, "text", "https://www.paypal.com/signin", None),
-    (15, "anchor", "http://user%20a.portal.co.uk/a%20b%20c%20d%20e%20f%20g%20h%20i%20j%20k%20l%20m%20n", "portal"),
+    (15, "anchor", "http://por%74al.co.uk/a%20b%20c%20d%20e%20f%20g%20h%20i%20j%20k%20l%20m%20n", "portal"),
     (16, "text", "https://accounts.google.com/continue?continue=https://mail.google.com/", None),
 ])
 

@@ -29,5 +29,11 @@ def half_up(expr: str, decimals: int) -> str:
     return f"(floor(({expr}) * {scale}.0D + 0.5D) / {scale}.0D)"
 
 
+def steady(expr: str, decimals: int) -> str:
+    """Round half toward plus infinity, blind to the last bits that depend on summation order."""
+    scale = 10 ** decimals
+    return f"(floor(round(({expr}) * {scale}.0D, 6) + 0.5D) / {scale}.0D)"
+
+
 def array_of(*items) -> str:
     return f"array_compact(array({', '.join(items)}))"

@@ -63,7 +63,8 @@ def parse(links: DataFrame) -> DataFrame:
         "regexp_extract(_full, '^(?i)https?://([^/?#]*)', 1) AS _auth",
         "regexp_extract(_full, '^(?i)https?://[^/?#]*([^?#]*)', 1) AS path",
         f"regexp_extract(_full, {q('^[^?#]*' + chr(92) + '?([^#]*)')}, 1) AS query")
-    df = df.selectExpr("*", f"{written_host('_auth')} AS _host", "regexp_extract(_auth, ':([0-9]+)$', 1) AS port")
+    decoded = f"lower(coalesce(try_url_decode(replace({written_host('_auth')}, '+', '%2B')), {written_host('_auth')}))"
+    df = df.selectExpr("*", f"{decoded} AS _host", "regexp_extract(_auth, ':([0-9]+)$', 1) AS port")
     bad = r"[\s<>^|%\\\[\]]"
     df = df.where(f"executable OR (_full RLIKE '^(?i)https?://' AND _host <> '' AND NOT _host RLIKE {q(bad)} "
                   "AND (port = '' OR coalesce(try_cast(port AS int) <= 65535, false)))")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dimensions as D
-from ..functions.sqltext import half_up, one_of, pick, q
+from ..functions.sqltext import steady, one_of, pick, q
 
 DOWNGRADE = {"critical": "medium", "high": "low", "medium": "info", "low": "info", "info": "info"}
 NEVER_DOWNGRADE = ["content.financial_request", "content.hidden_text"]
@@ -109,10 +109,10 @@ def score(df: DataFrame) -> DataFrame:
     df = df.selectExpr("*", "_rule + _bonus + coalesce(_ml, 0.0D) AS _raw")
     df = df.selectExpr("*", "IF(_raw <= 0, 0.0D, 100.0D * (1 - exp(-_raw / 60.0D))) AS _curve")
     df = df.selectExpr("*", "_strong AND _curve < 60 AS _floor")
-    df = df.selectExpr("*", "int(least(100, greatest(0, floor(IF(_floor, 60.0D, _curve) + 0.5D)))) AS risk_score")
+    df = df.selectExpr("*", "int(least(100, greatest(0, floor(round(IF(_floor, 60.0D, _curve), 6) + 0.5D)))) AS risk_score")
 
     def part(label, points, kind):
-        return f"struct({label} AS label, {half_up(points, 1)} AS points, '{kind}' AS kind)"
+        return f"struct({label} AS label, {steady(points, 1)} AS points, '{kind}' AS kind)"
 
     parts = (f"concat(transform(_groups, g -> {part(label_of('g.group'), 'g.points', 'rule')}), array_compact(array("
              f"IF(_bonus > 0, {part(q('Independent evidence corroborates'), '_bonus', 'correlation')}, NULL), "
@@ -121,7 +121,7 @@ def score(df: DataFrame) -> DataFrame:
              f"IF(_floor, {part(q('Critical indicator floor'), '60.0D - _curve', 'correlation')}, NULL))))")
     df = df.selectExpr(
         "*", f"{level_of('risk_score')} AS risk_level", f"{class_of('risk_score')} AS classification",
-        f"{half_up('_rule', 1)} AS rule_score", f"{half_up('greatest(0.0D, _raw)', 1)} AS raw_points",
+        f"{steady('_rule', 1)} AS rule_score", f"{steady('greatest(0.0D, _raw)', 1)} AS raw_points",
         f"transform(array_sort(transform({parts}, (p, i) -> struct(-abs(p.points) AS k, i AS i, p AS p))), s -> s.p) AS contributions")
     df = df.selectExpr("*", f"{summary_text()} AS summary")
     return df.drop("_groups", "_critical", "_strong", "_high", "_rule", "_bonus", "_mlp", "_ml", "_raw", "_curve", "_floor")

@@ -17,6 +17,11 @@ def up(e, d=2):
     return f"(floor(({e})*{m}+0.5)/{m})"
 
 
+def steady_up(e, d=2):
+    m = 10 ** d
+    return f"(floor(round(({e})*{m}, 6)+0.5)/{m})"
+
+
 def last(h, n):
     return f"array_to_string(string_split({h}, '.')[-{n}:], '.')"
 
@@ -188,7 +193,7 @@ add("links1", r"""
     CASE WHEN executable THEN '' WHEN regexp_matches(split_part(hp, ':', 1), '^[0-9]{8,10}$') THEN
       (split_part(hp, ':', 1)::BIGINT // 16777216) ||'.'|| (split_part(hp, ':', 1)::BIGINT // 65536 % 256) ||'.'||
       (split_part(hp, ':', 1)::BIGINT // 256 % 256) ||'.'|| (split_part(hp, ':', 1)::BIGINT % 256)
-      ELSE lower(split_part(hp, ':', 1)) END AS host
+      ELSE lower(url_decode(split_part(hp, ':', 1))) END AS host
   FROM (SELECT *, regexp_replace(regexp_extract(full_url, '(?i)^https?://([^/?#]*)', 1), '^.*@', '') AS hp
     FROM (SELECT msg_id, url, m.r AS src_rank, m.p AS pos, m.s AS source, m.a AS anchor_text,
         regexp_matches(url, '(?i)^(javascript|vbscript):|^data:text/html') AS executable,
@@ -497,7 +502,7 @@ add("ti_latest", "SELECT provider, kind, target, max_by(verdict, feed_ts) AS ver
 add("ti_hits", "SELECT t.msg_id, t.ord, t.kind, t.target, f.provider, f.verdict FROM ti_targets t JOIN ti_latest f USING (kind, target)",
     "ti_targets", "ti_latest")
 add("ti_findings", """
-  SELECT msg_id, 1000 + ord AS ord, 'threat_intel.'||regexp_replace(lower(provider), '[^a-z0-9_]+', '_', 'g') AS detector, 'threat_intel' AS category,
+  SELECT msg_id, 1000 + ord * 10 + list_position(['VirusTotal', 'AbuseIPDB', 'URLScan', 'Google Safe Browsing', 'RDAP'], provider) AS ord, 'threat_intel.'||regexp_replace(lower(provider), '[^a-z0-9_]+', '_', 'g') AS detector, 'threat_intel' AS category,
     CASE WHEN verdict = 'malicious' THEN 'critical' ELSE 'medium' END AS severity,
     (CASE WHEN verdict = 'malicious' THEN 0.9 ELSE 0.6 END)::DOUBLE AS confidence,
     provider||': '||target||' reported '||verdict AS title, 'threat_intel' AS score_group
@@ -549,7 +554,7 @@ add("verdicts", f"""
   SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium'
       WHEN risk_score >= 20 THEN 'low' ELSE 'safe' END AS risk_level,
     CASE WHEN risk_score >= 60 THEN 'phishing' WHEN risk_score >= 35 THEN 'suspicious' ELSE 'legitimate' END AS classification,
-    {up('rule', 1)} AS rule_score, {up('greatest(0, raw)', 1)} AS raw_points
-  FROM (SELECT s.*, least(100, greatest(0, floor(final + 0.5)))::INTEGER AS risk_score, m.created_at, m.source_name, m.subject, m.label,
+    {steady_up('rule', 1)} AS rule_score, {steady_up('greatest(0, raw)', 1)} AS raw_points
+  FROM (SELECT s.*, least(100, greatest(0, floor(round(final, 6) + 0.5)))::INTEGER AS risk_score, m.created_at, m.source_name, m.subject, m.label,
       f.from_address AS sender_address, f.from_domain AS sender_domain, sha256(m.header_block||chr(13)||chr(10)||chr(13)||chr(10)||m.text) AS message_sha256
     FROM score2 s JOIN messages m USING (msg_id) JOIN facts f USING (msg_id))""", "score2", "messages", "facts")
