@@ -12,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.shared import spread
+
 
 def _zip_hex(names):
     buf = io.BytesIO()
@@ -189,7 +191,8 @@ def duck_dim(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def _pick(df: DataFrame, spark: SparkSession, name: str, prefix: str) -> DataFrame:

@@ -29,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a scan has fewer splits than that; large tables pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+
+
 _written: dict = {}
 
 
@@ -38,4 +44,4 @@ def table_once(spark: SparkSession, key: str, build) -> DataFrame:
     if path not in _written:
         build().write.mode("overwrite").parquet(path)
         _written[path] = True
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
