@@ -17,17 +17,21 @@ def gram_vectors(texts: DataFrame, max_chars: int | None = None) -> DataFrame:
     return unit_vectors(tfidf(docs, "doc", min_df=2, by="label"), "doc", "label")
 
 
+MARGIN = 0.1
+
+
 def postings(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(label, term, doc) for the rarest terms of every vector that can decide a match.
+    """(label, term, doc, w) for the rarest terms of every vector, up to where the rest is shorter than threshold - MARGIN.
 
-    Terms are ordered by rarity; once the rest of a unit vector is shorter than
-    the threshold, a match must share a term before that point. So two texts
-    that match always meet in at least one of these lists.
+    Terms are ordered by rarity in every vector alike. Whatever two texts share
+    after the earlier of their two cuts adds less than threshold - MARGIN to
+    their cosine, so a match must collect at least MARGIN in these lists.
     """
-    enough = 1 - threshold * threshold + 1e-9
+    rest = threshold - MARGIN
+    enough = 1 - rest * rest + 1e-9
     n = (f"aggregate(v, named_struct('c', 0.0D, 'n', 0), (a, x) -> IF(a.c > {enough}D, a, "
          "named_struct('c', a.c + x.w * x.w, 'n', a.n + 1)), a -> a.n)")
-    return vectors.selectExpr("label", "doc", f"explode(transform(slice(v, 1, {n}), x -> x.term)) AS term")
+    return vectors.selectExpr("label", "doc", f"inline(transform(slice(v, 1, {n}), x -> struct(x.term AS term, x.w AS w)))")
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -43,29 +47,36 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 def edges(texts: DataFrame, threshold: float = D.NEAR_DUPLICATE_SIMILARITY, max_chars: int | None = None) -> DataFrame:
     """Verified edges (label, a, b, cosine) that connect exactly the texts connected by all matching pairs.
 
-    First every list compares its members with its smallest member only, which
-    joins a family of copies at linear cost. Then lists that still hold several
-    components compare members across components, leaving out the pairs inside
-    the largest one. Pairs inside a component are never needed and never made.
+    First every list offers pairs of its smallest member with each other
+    member, which joins a family of copies at linear cost. Then lists that
+    still hold several components offer pairs across components, leaving out
+    the inside of the largest one. Pairs inside a component are never needed
+    and never made; offered pairs that cannot reach the threshold are dropped
+    by their collected weight before any vector is read.
     """
     vectors = checkpointed(gram_vectors(texts, max_chars))
     lists = checkpointed(postings(vectors, threshold))
-    heads = checkpointed(lists.groupBy("label", "term").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1"))
-    star = lists.join(heads, ["label", "term"]).where("doc <> a").selectExpr("label", "a", "doc AS b").distinct()
-    first = checkpointed(verified(star, vectors, threshold))
+    heads = checkpointed(lists.groupBy("label", "term").agg(F.min_by(F.struct("doc", "w"), "doc").alias("h"), F.count("*").alias("n"))
+                         .where("n > 1").selectExpr("label", "term", "h.doc AS a", "h.w AS wa"))
+    star = lists.join(heads, ["label", "term"]).where("doc <> a").selectExpr("label", "a", "doc AS b", "wa * w AS p")
+    first = checkpointed(verified(promising(star), vectors, threshold))
     roots = components(first.select("a", "b"))
     placed = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").selectExpr(
-        "label", "term", "doc", "coalesce(root, doc) AS comp")
+        "label", "term", "doc", "w", "coalesce(root, doc) AS comp")
     per = placed.groupBy("label", "term", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("label", "term").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where(
         "comps > 1")
     open_ = checkpointed(placed.join(mixed.select("label", "term", "main"), ["label", "term"]))
-    rest = open_.where("comp <> main").selectExpr("label", "term", "doc AS x", "comp AS cx", "main")
-    other = open_.selectExpr("label", "term", "doc AS y", "comp AS cy")
+    rest = open_.where("comp <> main").selectExpr("label", "term", "doc AS x", "w AS wx", "comp AS cx", "main")
+    other = open_.selectExpr("label", "term", "doc AS y", "w AS wy", "comp AS cy")
     cross = rest.join(other, ["label", "term"]).where("cx <> cy AND (cy = main OR x < y)").selectExpr(
-        "label", "least(x, y) AS a", "greatest(x, y) AS b").distinct()
-    cross = cross.join(star, ["label", "a", "b"], "left_anti")
-    return first.unionByName(verified(cross, vectors, threshold))
+        "label", "least(x, y) AS a", "greatest(x, y) AS b", "wx * wy AS p")
+    return first.unionByName(verified(promising(cross), vectors, threshold))
+
+
+def promising(offers: DataFrame) -> DataFrame:
+    """Pairs whose shared list weight leaves the threshold in reach."""
+    return offers.groupBy("label", "a", "b").agg(F.sum("p").alias("p")).where(F.col("p") >= MARGIN - 1e-9).select("label", "a", "b")
 
 
 def groups(texts: DataFrame, threshold: float = D.NEAR_DUPLICATE_SIMILARITY, max_chars: int | None = None) -> DataFrame:
