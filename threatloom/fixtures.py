@@ -279,9 +279,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and 0/1 truth per labelled document (truth = the quality label)."""
     labels = table(spark, sf_dir, "labels")
-    noise = F.pmod(F.col("doc_id") * 7919 + 13, F.lit(1000)) / F.lit(1000.0)
-    return labels.select("doc_id", F.col("quality").alias("y"),
-                         F.round(noise * 0.6 + F.col("quality") * 0.35, 2).alias("score"))
+    return labels.selectExpr("doc_id", "quality AS y", "((pmod(doc_id * 7919 + 13, 1000) * 6 + quality * 3500) DIV 100) / 100.0D AS score")
 
 
 # --------------------------------------------------------------------- oracle
@@ -352,5 +350,4 @@ model_scores AS (
 def duck_labelled_scores() -> str:
     return """
 scored AS (
-  SELECT doc_id, quality AS y,
-         round((((doc_id*7919 + 13) % 1000) / 1000.0::DOUBLE) * 0.6 + quality * 0.35, 2)::DOUBLE AS score FROM labels)"""
+  SELECT doc_id, quality AS y, ((((doc_id*7919 + 13) % 1000) * 6 + quality * 3500) // 100) / 100.0::DOUBLE AS score FROM labels)"""

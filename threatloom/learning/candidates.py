@@ -69,12 +69,12 @@ def fit(key: str, space: FeatureSpace, train: DataFrame, gbm_rounds: int = 300)
         rows = balanced(train)
         total = rows.agg(F.sum("weight")).first()[0]
         lr = LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (4.0 * total), elasticNetParam=0.0,
-                                standardization=False, maxIter=200, tol=1e-6)
+                                standardization=False, maxIter=200, tol=1e-4)
         return Fitted(key, space, lr.fit(rows))
     if key == "svm_hybrid":
         rows = balanced(train)
         total = rows.agg(F.sum("weight")).first()[0]
-        svc = LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (0.5 * total), standardization=False, maxIter=100)
+        svc = LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (0.5 * total), standardization=False, maxIter=100, tol=1e-4)
         folded = rows.withColumn("fold", F.pmod(F.xxhash64("doc"), F.lit(3)))
         margins = None
         for k in range(3):

@@ -16,7 +16,8 @@ MAX_FEATURES, CLIP = 40000, 5.0
 
 def word_terms(text: str) -> str:
     """Words of two characters or more and pairs of neighbours."""
-    words = f"regexp_extract_all(lower({text}), {q(chr(92) + 'b([a-z][a-z0-9' + chr(39) + ']+)' + chr(92) + 'b')}, 1)"
+    word = q(r"(?<![\p{L}\p{N}_])([a-z][a-z0-9']+)(?![\p{L}\p{N}_])")
+    words = f"regexp_extract_all(lower({text}), {word}, 1)"
     pairs = "transform(slice(w, 2, greatest(size(w) - 1, 0)), (x, i) -> concat(w[i], ' ', x))"
     return f"transform(array({words}), w -> concat(w, {pairs}))[0]"
 

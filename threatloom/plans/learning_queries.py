@@ -77,7 +77,7 @@ def fea2(spark, d):
 
 # ------------------------------------------------------------------ feature blocks
 WORD_SQL = BASE + """,
-ws AS (SELECT doc, regexp_extract_all(lower(text), '\\b[a-z][a-z0-9'']+\\b') AS w FROM firsts),
+ws AS (SELECT doc, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'), lambda w: regexp_matches(w, '^[a-z][a-z0-9'']+$')) AS w FROM firsts),
 terms AS (SELECT doc, unnest(w) AS term FROM ws UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i]||' '||w[i+1])) FROM ws)"""
 CHAR_SQL = BASE + """,
 cw AS (SELECT doc, ' '||unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))||' ' AS p FROM firsts),
