@@ -10,19 +10,24 @@ from .joins import lookup
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root) for every node that has an edge; the root is the smallest member.
 
-    Every round hooks each root to its smallest neighbour, follows the hooks
-    twice and contracts the edges, so chains shorten geometrically and finished
-    parts drop out. Each round's small tables go to reliable storage. A root
-    may carry a large share of all edges, hence the salted lookups.
+    Every round hooks each root to its smallest neighbour, follows the hooks by
+    doubling until they end, and contracts the edges; finished parts drop out.
+    A chain of n nodes costs log n steps. Each round's small tables go to
+    reliable storage. A root may carry a large share of all edges, hence the
+    salted lookups.
     """
     live = checkpointed(edges.where("a <> b").selectExpr("least(a, b) AS lo", "greatest(a, b) AS hi").distinct())
     roots = live.selectExpr("explode(array(lo, hi)) AS node").distinct().selectExpr("node", "node AS root")
     while not live.isEmpty():
         hook = live.groupBy("hi").agg(F.min("lo").alias("up"))
-        for _ in range(2):
-            above = hook.selectExpr("hi AS h2", "up AS u2")
-            hook = lookup(hook, above, "up", "h2", ["hi"]).selectExpr("hi", "coalesce(u2, up) AS up")
         hook = checkpointed(hook)
+        while True:
+            above = hook.selectExpr("hi AS h2", "up AS u2")
+            further = checkpointed(lookup(hook, above, "up", "h2", ["hi"], salts=4).selectExpr(
+                "hi", "coalesce(u2, up) AS up", "u2 IS NOT NULL AS moved"))
+            hook = further.select("hi", "up")
+            if further.where("moved").isEmpty():
+                break
         roots = lookup(roots, hook, "root", "hi", ["node"]).selectExpr("node", "coalesce(up, root) AS root")
         roots = checkpointed(roots)
         first = lookup(live, hook.selectExpr("hi AS k", "up AS up1"), "lo", "k", ["lo", "hi"]).selectExpr(
