@@ -140,55 +140,64 @@ def test_saturation_is_monotone(spark):
     assert math.isclose(100 * (1 - math.exp(-1)), 63.2, abs_tol=0.1)
 
 
-def message(spark, sender, auth, lure, links=(), files=(), reply=None, chain=0):
-    """Investigate one hand-made message."""
+def header_block(sender, auth, subject, reply=None, chain=0):
     head = [f"Received: {h}" for h in fx.DIM_CHAIN[1][chain][2:] if h]
     head += [f"Authentication-Results: {auth}"] if auth else []
-    head += [f"From: {sender}"] + ([f"Reply-To: {reply}"] if reply else []) + [f"Subject: {lure[0]}", "Date: " + fx.DIM_CHAIN[1][chain][1], "Message-ID: <x@y>"]
-    m = spark.createDataFrame([(1, "\r\n".join(head), lure[0], lure[1], lure[2] if len(lure) > 2 else None, "m.eml", "x")],
+    head += [f"From: {sender}"] + ([f"Reply-To: {reply}"] if reply else [])
+    return "\r\n".join(head + [f"Subject: {subject}", "Date: " + fx.DIM_CHAIN[1][chain][1], "Message-ID: <x@y>"])
+
+
+def passing(domain):
+    return f"mx; spf=pass smtp.mailfrom={domain}; dkim=pass header.d={domain}; dmarc=pass header.from={domain}"
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    """Hand-made messages, investigated together."""
+    cases = {
+        "account": (header_block('"Microsoft account team" <security@micr0soft-accountprotection.com>', "mx; spf=fail smtp.mailfrom=x.top; dmarc=fail",
+                                 "Unusual sign-in activity", "help@mail-verify.top", 1), "Unusual sign-in activity", PHISH,
+                    [("anchor", "https://login.micr0soft-accountprotection.com/verify", "https://account.microsoft.com")], []),
+        "invoice": (header_block('"Supplier" <billing@supplier.example>', None, "Invoice"), "Invoice",
+                    "Our bank details have been changed, please process the payment today.", [("text", "http://203.0.113.9/inv", None)],
+                    [("Invoice.pdf.exe", b"MZ\0\0")]),
+        "executive": (header_block('"James Porter, CEO" <ceo@example.org>', passing("example.org"), "Quick favour", "boss@gmail.com"), "Quick favour",
+                      "Are you available? Buy some gift cards today and keep this confidential. Sent from my iPhone", [], []),
+        "homoglyph": (header_block('"Apple" <id@xn--pple-43d.com>', passing("xn--pple-43d.com"), "Apple ID"), "Apple ID", "Confirm your account.",
+                      [("anchor", "https://xn--pple-43d.com/id", "Apple ID")], []),
+        "reset": (header_block('"Northwind" <no-reply@northwind.example>', passing("northwind.example"), "Reset your password"), "Reset your password",
+                  "We received a request to reset your password. Verify your email within 24 hours.",
+                  [("anchor", "https://northwind.example/password_reset/abc", "Reset password")], []),
+        "notice": (header_block('"Google" <no-reply@accounts.google.com>', passing("accounts.google.com"), "Security alert"), "Security alert",
+                   "A new sign-in on your account.", [("anchor", "https://accounts.google.com/x?continue=https://mail.google.com/", "Check activity"),
+                                                       ("image", "https://www.gstatic.com/a.png", None)], []),
+        "newsletter": (header_block('"Shop" <news@shop.example>', passing("shop.example"), "Summer sale"), "Summer sale",
+                       "Limited time: 20% off this week only.", [("anchor", "https://shop.example/sale", "Shop now")], []),
+    }
+    names = list(cases)
+    m = spark.createDataFrame([(i, cases[n][0], cases[n][1], cases[n][2], None, "m.eml", n) for i, n in enumerate(names)],
                               "msg_id long, header_block string, subject string, text string, html string, source_name string, label string").withColumn(
         "created_at", F.expr("timestamp'2024-01-01 10:00:00'"))
-    link = spark.createDataFrame([(1, i, *x) for i, x in enumerate(links)], "msg_id long, pos int, source string, url string, anchor_text string")
-    file = spark.createDataFrame([(1, i, n, bytearray(c), "x") for i, (n, c) in enumerate(files)],
+    link = spark.createDataFrame([(i, k, *x) for i, n in enumerate(names) for k, x in enumerate(cases[n][3])],
+                                 "msg_id long, pos int, source string, url string, anchor_text string")
+    file = spark.createDataFrame([(i, k, f, bytearray(c), "x") for i, n in enumerate(names) for k, (f, c) in enumerate(cases[n][4])],
                                  "msg_id long, pos int, filename string, content binary, declared_type string")
-    score = spark.createDataFrame([(1, None, 0.5)], "msg_id long, probability double, threshold double")
-    return investigate(m, link, file, score).first()
+    score = spark.createDataFrame([(i, None, 0.5) for i in range(len(names))], "msg_id long, probability double, threshold double")
+    return {r["label"]: r for r in investigate(m, link, file, score).collect()}
 
 
-def passing(domain):
-    return f"mx; spf=pass smtp.mailfrom={domain}; dkim=pass header.d={domain}; dmarc=pass header.from={domain}"
+@pytest.mark.parametrize("name,detectors", [
+    ("account", {"auth.dmarc", "impersonation.display_name", "impersonation.lookalike_sender", "url.anchor_mismatch", "header.reply_to_mismatch",
+                 "content.credential_request"}),
+    ("invoice", {"attachment.disguised_name", "url.ip_host"}), ("executive", {"impersonation.executive"}), ("homoglyph", {"impersonation.homoglyph"})])
+def test_phishing_samples(samples, name, detectors):
+    assert samples[name]["classification"] == "phishing"
+    assert detectors <= {f["detector"] for f in samples[name]["findings"]}
 
 
-def test_phishing_samples(spark):
-    r = message(spark, '"Microsoft account team" <security@micr0soft-accountprotection.com>', "mx; spf=fail smtp.mailfrom=x.top; dmarc=fail",
-                ("Unusual sign-in activity", PHISH), [("anchor", "https://login.micr0soft-accountprotection.com/verify", "https://account.microsoft.com")],
-                reply="help@mail-verify.top", chain=1)
-    found = {f["detector"] for f in r["findings"]}
-    assert r["classification"] == "phishing"
-    assert {"auth.dmarc", "impersonation.display_name", "impersonation.lookalike_sender", "url.anchor_mismatch", "header.reply_to_mismatch",
-            "content.credential_request"} <= found
-    r = message(spark, '"Supplier" <billing@supplier.example>', None, ("Invoice", "Our bank details have been changed, please process the payment today."),
-                [("text", "http://203.0.113.9/inv", None)], [("Invoice.pdf.exe", b"MZ\0\0")])
-    assert r["classification"] == "phishing" and "attachment.disguised_name" in {f["detector"] for f in r["findings"]}
-    r = message(spark, '"James Porter, CEO" <ceo@example.org>', passing("example.org"),
-                ("Quick favour", "Are you available? Buy some gift cards today and keep this confidential. Sent from my iPhone"), reply="boss@gmail.com")
-    assert r["classification"] == "phishing" and "impersonation.executive" in {f["detector"] for f in r["findings"]}
-    r = message(spark, '"Apple" <id@xn--pple-43d.com>', passing("xn--pple-43d.com"), ("Apple ID", "Confirm your account."),
-                [("anchor", "https://xn--pple-43d.com/id", "Apple ID")])
-    assert r["classification"] == "phishing" and "impersonation.homoglyph" in {f["detector"] for f in r["findings"]}
-
-
-def test_legitimate_samples(spark):
-    r = message(spark, '"Northwind" <no-reply@northwind.example>', passing("northwind.example"),
-                ("Reset your password", "We received a request to reset your password. Verify your email within 24 hours."),
-                [("anchor", "https://northwind.example/password_reset/abc", "Reset password")])
-    assert r["classification"] == "legitimate" and r["trusted"]
-    r = message(spark, '"Google" <no-reply@accounts.google.com>', passing("accounts.google.com"), ("Security alert", "A new sign-in on your account."),
-                [("anchor", "https://accounts.google.com/x?continue=https://mail.google.com/", "Check activity"), ("image", "https://www.gstatic.com/a.png", None)])
-    assert r["classification"] == "legitimate" and r["trusted"]
-    r = message(spark, '"Shop" <news@shop.example>', passing("shop.example"), ("Summer sale", "Limited time: 20% off this week only."),
-                [("anchor", "https://shop.example/sale", "Shop now")])
-    assert r["classification"] == "legitimate" and r["trusted"]
+@pytest.mark.parametrize("name", ["reset", "notice", "newsletter"])
+def test_legitimate_samples(samples, name):
+    assert samples[name]["classification"] == "legitimate" and samples[name]["trusted"]
 
 
 def test_segments(spark):
