@@ -120,9 +120,6 @@ add("sender", f"""
     lower(regexp_extract(v_return, '<([^>]*)>', 1)) AS return_path,
     coalesce(lower(split_part(regexp_extract(v_return, '<([^>]*)>', 1), '@', 2)), '') AS return_domain
   FROM hfirst h)""", "hfirst")
-DATE = ("try_strptime(regexp_replace(trim(regexp_replace(regexp_replace({0}, '\\([^)]*\\)', '', 'g'), '^\\s*[A-Za-z]+,', '')), "
-        "' [+-][0-9]{{4}}$', ''), '%d %b %Y %H:%M:%S')")
-
 
 def date_utc(e):
     plain = f"trim(regexp_replace(regexp_replace({e}, '\\([^)]*\\)', '', 'g'), '^\\s*[A-Za-z]+,', ''))"
