@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .common import byte_texts, pieces, read
+from .words import FOLD
 
 #: Phrase, as words, and its label.
 BASE = ((b"gnu general public license", "gpl"), (b"apache license", "apache"), (b"cc by", "cc-by"), (b"mit license", "mit"))
 
-#: Bytes that are not part of a word become spaces, A-Z become a-z.
-FOLD = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-
 #: Priorities: a text of the license, its name with a version, a notice that grants it, an identifier, its bare name.
 TEXT, VERSIONED, NOTICE, TAG, NAME = 5, 4, 3, 2, 1
 DOUBT = {TEXT: 0.02, VERSIONED: 0.05, NOTICE: 0.1, TAG: 0.1, NAME: 0.4}
