@@ -34,10 +34,12 @@ from .catalogue import query
 from .common import byte_texts, pieces, read
 from .words import FOLD
 
-SAMPLE, TRAIN_BYTES, BODY, MEMO = 3000, 20_000, 400 << 10, 500_000
+SAMPLE, TRAIN_BYTES, BODY, NEGATIVES, MEMO = 3000, 20_000, 400 << 10, 3000, 500_000
 #: A stem is a beginning of words, this long; toxic when in so large a share of toxic texts, so many times as often as in ordinary ones.
 STEM, SHARE, TIMES = range(4, 12), 0.01, 12
 PIECE, GAINS, THRESHOLD = 48, 9, 0.3
+#: A word is tried from its beginning at these lengths, then whole, as long as the shorter one gains; its gain is the largest.
+HEADS = (9, 7, 5)
 #: Stands before every word, in dictionaries and windows: a match that starts with a word is worth more than one inside it.
 MARK = b"\x01\x02\x03"
 
@@ -76,7 +78,7 @@ class Model:
     @staticmethod
     def _compressor(content: bytes):
         how = zstandard.ZstdCompressionParameters(
-            window_log=20, chain_log=20, hash_log=18, search_log=8, min_match=3, target_length=128, strategy=zstandard.STRATEGY_BTULTRA,
+            window_log=20, chain_log=21, hash_log=18, search_log=12, min_match=3, target_length=128, strategy=zstandard.STRATEGY_BTULTRA,
             write_content_size=False, write_checksum=False, write_dict_id=False)
         return zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(
             content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
@@ -93,10 +95,15 @@ class Model:
         if g is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            window = self.before + word + self.after
-            g = self.memo[word] = min(GAINS, max(0, len(self.ordinary.compress(window)) - len(self.toxic.compress(window))))
+            head = next((k for k in HEADS if k < len(word)), 0)
+            g = self.gain(word[:head]) if head else 0
+            g = self.memo[word] = max(g, self._gain(word)) if g or not head else 0
         return g
 
+    def _gain(self, word: bytes) -> int:
+        window = self.before + word + self.after
+        return min(GAINS, len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))
+
     def histogram(self, text: bytes) -> np.ndarray:
         counts = Counter(map(self.gain, windows(text)))
         c = np.log1p([counts[g] for g in range(1, GAINS + 1)])
@@ -139,7 +146,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | No
     model = Model(body, joined(chosen))
     # Ordinary words that share much with the toxic vocabulary belong to the ordinary text of both.
     for _ in range(2):
-        near = {w for t in ord_a for w in windows(t) if model.gain(w) >= 2}
+        near = {w for t in ord_a[:NEGATIVES] for w in windows(t) if model.gain(w) >= 2}
         model = Model(model.body + joined(sorted(near)), model.vocabulary)
     x = np.array([model.histogram(t) for t in (*tox_b, *ord_b)])
     model.calibrate(x, np.r_[np.ones(len(tox_b)), np.zeros(len(ord_b))], prior)
