@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from . import license_scan, mixing, personal_data, sharding, toxicity, url_reputation  # noqa: F401
+from . import decontamination, license_scan, mixing, personal_data, sharding, toxicity, url_reputation  # noqa: F401
 from .catalogue import QUERIES, SQL  # noqa: F401
