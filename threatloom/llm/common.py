@@ -51,7 +51,7 @@ def byte_texts(batch: pa.RecordBatch, column: str) -> list:
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column``, or one longer row; no row is lost."""
     for batch in batches:
         if not batch.num_rows:

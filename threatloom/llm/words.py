@@ -1,5 +1,7 @@
 """Words of texts as bytes, and hashes of word shingles, many texts at a time."""
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Bytes that are not part of a word become spaces, A-Z become a-z.
@@ -12,6 +14,8 @@ BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -21,28 +25,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))))
+        return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
 
 
-def word_hashes(texts: list[bytes], fold: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after another, and each text's number of words.
+def block_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of a block of bytes that ends with a space.
 
     A word's hash is a polynomial in its bytes, cut out of running sums over all
-    bytes of the texts, so that numpy sees them once.
+    bytes, so that numpy sees them once.
     """
-    joined = b" ".join(texts).translate(fold) + b" "
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    inside = raw != 32
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    edge = np.flatnonzero(np.diff((raw != 32).view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]
+    size = max(BLOCK, len(raw))
     with np.errstate(over="ignore"):
-        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * powers(BASE, len(raw)), dtype=np.uint64)))
-        hashes = mixed((run[ends] - run[starts]) * powers(INVERSE, len(raw))[starts])
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(starts, text_ends)
-    return hashes, np.diff(upto, prepend=0)
+        run = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE[raw] * powers(int(BASE), size)[:len(raw)], out=run[1:])
+        return mixed((run[ends] - run[starts]) * powers(int(INVERSE), size)[starts]), starts
+
+
+def word_hashes(texts: list[bytes], fold: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, and each text's number of words."""
+    raw = np.frombuffer((b" ".join(texts) + b" ").translate(fold), dtype=np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = at + BLOCK
+        if end < len(raw):
+            spaces = np.flatnonzero(raw[at:end] == 32)
+            end = at + int(spaces[-1]) + 1 if len(spaces) else end + int(np.argmax(raw[end:] == 32)) + 1
+        h, s = block_hashes(raw[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    upto = np.searchsorted(np.concatenate(starts), np.cumsum([len(t) + 1 for t in texts]))
+    return np.concatenate(hashes), np.diff(upto, prepend=0)
 
 
 def shingles(texts: list[bytes], fold: bytes, size: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
