@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from . import decontamination, jaccard_join, license_scan, mixing, personal_data, sharding, token_counts, toxicity, url_reputation  # noqa: F401
+from . import decontamination, embedding_dedup, jaccard_join, license_scan, mixing, personal_data, sharding, token_counts, toxicity, url_reputation  # noqa: F401
 from .catalogue import QUERIES, SQL  # noqa: F401
