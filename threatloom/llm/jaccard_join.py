@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .catalogue import query
-from .common import byte_texts, checkpointed, pieces, read
+from .common import byte_texts, checkpointed, membership, pieces, read
 from .words import FOLD_SPACE, mixed, shingles
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -128,9 +128,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, size: int, p: int, q: in
               .where("shared > 0").groupBy("id").agg(F.sum("shared").alias("shared")))
     # The prefix of the smallest partner is the shorter one.
     need = F.lit(1) + F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * p / F.lit(q)))
-    maybe = classes.join(counts, "id").where(F.col("shared") >= need).select(F.col("first_doc").alias("doc_id")).distinct()
+    maybe = checkpointed(classes.join(counts, "id").where(F.col("shared") >= need).select(F.col("first_doc").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text")
-    rows = texts.where("doc_id IS NOT NULL").join(maybe, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    rows = membership(texts.where("doc_id IS NOT NULL"), maybe, "left_semi").unionByName(texts.where("doc_id IS NULL"))
     return checkpointed(rows.select("text").mapInArrow(_sets(size), "id bigint, n bigint, hashes array<bigint>").where("n > 0").dropDuplicates(["id"]))
 
 
@@ -179,8 +179,8 @@ def one_of_each(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) ->
 
     Rows with a null id stay; of rows repeated under one id, all stay.
     """
-    gone = linked(docs, similarity, size).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = checkpointed(linked(docs, similarity, size).where("doc_id <> component_id").select("doc_id").distinct())
+    return membership(docs, gone, "left_anti").select(docs.columns)
 
 
 SQL = r"""

@@ -46,17 +46,15 @@ def targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, copies: i
     return filled.select("source", "source_size", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, copies: int = 2, levels=LEVELS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source).
-
-    ``taken`` is 0, 1 or more times the size. A source's taken words end within
-    half of its boundary rows' size of its target.
-    """
+def hashed(docs: DataFrame) -> DataFrame:
+    """Add size, source key and hash to docs(doc_id, text, source)."""
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.coalesce("text", F.lit("")))))
-    sized = checkpointed(docs.select(
-        "doc_id", "source", space_words(F.col("text")).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("sk"),
-        F.conv(F.substring(name, 1, 15), 16, 10).cast("bigint").alias("key")))
+    return docs.withColumns({"size": space_words(F.col("text")), "sk": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+                             "key": F.conv(F.substring(name, 1, 15), 16, 10).cast("bigint")})
+
+
+def cuts(sized: DataFrame, weights, share: float, copies: int, levels) -> tuple[DataFrame, int]:
+    """(sk, source_size, target, base, cut) of every source, and their number: rows below the cut are taken base + 1 times, others base times."""
     sources = checkpointed(sized.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")))
     rows = sources.count()
     plan = targets(sources.drop("sk"), weights, share, copies)
@@ -81,10 +79,28 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, copies: int = 2,
                     F.col("b.words").alias("words")))
     # The boundary rows go in when that leaves the total nearer to the target.
     cut = edge.select("sk", F.when((F.col("need") - F.col("got")) * 2 >= F.col("words"), F.col("low") + 1).otherwise(F.col("low")).alias("cut"))
-    full = checkpointed(plan.join(cut, "sk", "left").select("sk", "source_size", "target", "base", F.coalesce("cut", F.lit(0)).alias("cut")))
+    return checkpointed(plan.join(cut, "sk", "left").select("sk", "source_size", "target", "base", F.coalesce("cut", F.lit(0)).alias("cut"))), rows
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, copies: int = 2, levels=LEVELS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source).
+
+    ``taken`` is 0, 1 or more times the size. A source's taken words end within
+    half of its boundary rows' size of its target.
+    """
+    sized = checkpointed(hashed(docs.select("doc_id", "text", "source")).drop("text"))
+    full, rows = cuts(sized, weights, share, copies, levels)
     return attach(sized, full, "sk", ["key"], rows).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.col("base") + (F.col("key") < F.col("cut")).cast("int"))).cast("bigint").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", F.expr("CAST(size * (base + CAST(key < cut AS INT)) AS BIGINT)").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, copies: int = 2, levels=LEVELS) -> DataFrame:
+    """The rows that the mix takes, with all columns of docs, each as many times as it is taken."""
+    full, rows = cuts(checkpointed(hashed(docs.select("doc_id", "text", "source")).drop("text")), weights, share, copies, levels)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = hashed(docs.select("doc_id", "text", "source", whole)).drop("doc_id", "text", "source", "size")
+    taken = attach(named, full, "sk", ["key"], rows).withColumn("times", F.expr("CAST(base + CAST(key < cut AS INT) AS INT)")).where("times > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")
 
 
 SQL = r"""
