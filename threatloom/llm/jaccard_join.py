@@ -13,8 +13,9 @@ it. Steps:
    similar enough. That joins most near copies with one pair a set, not with all
    pairs of a group.
 4. Sets of different components that share a leading shingle, of fitting size
-   and with enough shingles after it, are the last pairs. Pairs within a
-   component are not made, so no link between components is lost.
+   and with enough shingles after it, are the last pairs. The order here has
+   frequent shingles at the end, so that a widespread passage pairs nothing.
+   Pairs within a component are not made, so no link between components is lost.
 
 Pairs are verified by fragments: the global order is cut into ``FRAGMENTS``
 ranges, the overlap of a pair is counted in each apart, and summed by pair.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .catalogue import query
-from .common import byte_texts, checkpointed, membership, pieces, read
+from .common import BROADCAST_IDS, byte_texts, checkpointed, membership, pieces, read
 from .words import FOLD_SPACE, mixed, shingles
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -46,6 +47,8 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 EXTRA = 0.08
 #: First shingles by which step 3 pairs sets.
 FIRST = 3
+#: A shingle of so many sets, or more, comes late in the order of step 4.
+FREQUENT = 16
 
 
 def least(n, p: int, q: int):
@@ -123,7 +126,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, size: int, p: int, q: in
     """(id, n, hashes) of the sets that may link with another one."""
     leading = docs.select("text").mapInArrow(_leading(size, p, q), "key bigint, id bigint, known bigint")
     order = W.partitionBy("key").orderBy("id")
-    met = (F.lag("key").over(order).isNotNull() | F.lead("key").over(order).isNotNull()).cast("int")
+    # Of the rows that copies of a set bring for one shingle, at least one stands next to another set's, if there is one.
+    near = [F.coalesce(at("id").over(order) != F.col("id"), F.lit(False)) for at in (F.lag, F.lead)]
+    met = (near[0] | near[1]).cast("int")
     counts = (leading.select("id", F.when(F.col("known") == 0, met).otherwise(F.col("known")).alias("shared"))
               .where("shared > 0").groupBy("id").agg(F.sum("shared").alias("shared")))
     # The prefix of the smallest partner is the shorter one.
@@ -134,18 +139,47 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, size: int, p: int, q: in
     return checkpointed(rows.select("text").mapInArrow(_sets(size), "id bigint, n bigint, hashes array<bigint>").where("n > 0").dropDuplicates(["id"]))
 
 
-def first_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the smallest id that has one of the same first shingles."""
-    rows = sets.select("id", F.explode(F.slice("hashes", 1, FIRST)).alias("h"))
-    return (rows.join(rows.groupBy("h").agg(F.min("id").alias("b")), "h").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+def rare_first(sets: DataFrame) -> DataFrame:
+    """Add ``ordered``: the shingles with those that FREQUENT or more sets have at the end, each part by hash.
+
+    A set that shares only a widespread passage then has none of it among its
+    leading shingles. Up to BROADCAST_IDS frequent shingles are broadcast; more
+    are joined by shuffle.
+    """
+    each = sets.select("id", F.explode("hashes").alias("h"))
+    frequent = checkpointed(each.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h"))
+    if frequent.count() > BROADCAST_IDS:
+        marked = each.join(frequent.withColumn("late", F.lit(1)), "h", "left").groupBy("id").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("x"))
+        return sets.join(marked.select("id", F.transform("x", lambda e: e["h"]).alias("ordered")), "id")
+    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in frequent.collect()], dtype=np.int64)))
+
+    def reorder(batches):
+        for batch in batches:
+            hashes = batch.column("hashes")
+            flat, ends = hashes.flatten().to_numpy(), np.cumsum(batch.column("n").to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy())
+            order = np.lexsort((flat, np.isin(flat, late.value), owner))
+            cut = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cut, pa.array(flat[order]))], [*batch.schema.names, "ordered"])
+    return sets.mapInArrow(reorder, "id bigint, n bigint, hashes array<bigint>, ordered array<bigint>")
+
+
+def first_pairs(sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): each set with the smallest id that has one of the same first shingles, if their sizes fit."""
+    rows = sets.select("id", "n", F.explode(F.slice("hashes", 1, FIRST)).alias("h"))
+    first = rows.groupBy("h").agg(F.min(F.struct("id", "n")).alias("c"))
+    fits = (F.least("n", "c.n") * q >= F.greatest("n", "c.n") * p) & (F.col("id") != F.col("c.id"))
+    return rows.join(first, "h").where(fits).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
 
 
 def last_pairs(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b) of different components that share a leading shingle and may still have enough in common."""
     n = F.col("n")
     lead = F.least(n, n - F.ceil(n * p / F.lit(q)) + 1).cast("int")
-    named = sets.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id"))
-    rows = named.select("id", "n", "part", F.posexplode(F.slice("hashes", F.lit(1), lead)).alias("place", "h"))
+    named = (rare_first(sets).select("id", "n", F.slice("ordered", F.lit(1), lead).alias("lead"))
+             .join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")))
+    rows = named.select("id", "n", "part", F.posexplode("lead").alias("place", "h"))
     open_ = rows.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
     live = checkpointed(rows.join(open_, "h", "left_semi").select("h", "id", "n", "part", (n - F.col("place")).alias("rest")))
     x, y = live.alias("x"), live.alias("y")
@@ -162,7 +196,7 @@ def linked(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) -> DataF
     rows = checkpointed(docs.mapInArrow(_classes(size), "doc_id bigint, n_shingles bigint, id bigint"))
     classes = rows.where("n_shingles > 0").groupBy("id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("first_doc"))
     sets = candidate_sets(docs, classes, size, p, q)
-    near = checkpointed(verified(first_pairs(sets), sets, p, q))
+    near = checkpointed(verified(first_pairs(sets, p, q), sets, p, q))
     parts = components(near)
     far = checkpointed(verified(last_pairs(sets, parts, p, q), sets, p, q))
     roots = components(near.unionByName(far))
