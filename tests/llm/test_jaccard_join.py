@@ -45,8 +45,9 @@ def corpus():
     return list(enumerate(texts, 10))
 
 
-@pytest.mark.parametrize("frequent, limit", [(16, 500_000), (4, 500_000), (4, 0)])
-def test_against_all_pairs(spark, monkeypatch, frequent, limit):
+@pytest.mark.parametrize("frequent, limit, tile", [(16, 500_000, 256), (4, 500_000, 10), (4, 0, 4)])
+def test_against_all_pairs(spark, monkeypatch, frequent, limit, tile):
+    monkeypatch.setattr(J, "TILE", tile)
     monkeypatch.setattr(J, "FREQUENT", frequent)
     monkeypatch.setattr(J, "BROADCAST_IDS", limit)
     rows = corpus()

@@ -12,13 +12,15 @@ it. Steps:
 3. Remaining sets link to the smallest set that has the same first shingles, if
    similar enough. That joins most near copies with one pair a set, not with all
    pairs of a group.
-4. Sets of different components that share a leading shingle, of fitting size
-   and with enough shingles after it, are the last pairs. The order here has
-   frequent shingles at the end, so that a widespread passage pairs nothing.
-   Pairs within a component are not made, so no link between components is lost.
+4. Sets of different components that share a leading shingle form families. The
+   order here has frequent shingles at the end, so that a widespread passage
+   brings nothing together. A family is cut into tiles, and tiles of fitting sizes
+   are compared, unless both are of one component: no link between components is
+   lost, and what leaves a task is a spanning forest, not pairs.
 
-Pairs are verified by fragments: the global order is cut into ``FRAGMENTS``
-ranges, the overlap of a pair is counted in each apart, and summed by pair.
+Overlaps are counted by fragments: the global order is cut into ranges, the
+overlap of a pair is counted in each apart, and summed by pair; by joins for the
+pairs of step 3, and for all pairs of two tiles at once in step 4.
 
 Similarity is exact: q * overlap >= p * union for a threshold p/q. Sets are
 identified by 64-bit hashes of shingles and sets.
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from .catalogue import query
 from .common import BROADCAST_IDS, byte_texts, checkpointed, membership, pieces, read
+from .embedding_dedup import Links, few_rows_a_batch
 from .words import FOLD_SPACE, mixed, shingles
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -49,6 +52,8 @@ EXTRA = 0.08
 FIRST = 3
 #: A shingle of so many sets, or more, comes late in the order of step 4.
 FREQUENT = 16
+#: Most sets and shingles of a tile of step 4, about.
+TILE, TILE_SHINGLES = 256, 150_000
 
 
 def least(n, p: int, q: int):
@@ -173,20 +178,93 @@ def first_pairs(sets: DataFrame, p: int, q: int) -> DataFrame:
     return rows.join(first, "h").where(fits).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
 
 
-def last_pairs(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b) of different components that share a leading shingle and may still have enough in common."""
+def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles of sets that may still link across components, and the pairs of tiles to compare.
+
+    A family is what hangs together by shared leading shingles of sets of
+    different components. It is cut by component (where one fills a tile), by
+    size, and by hash, so that no tile has more than about ``TILE`` sets or
+    ``TILE_SHINGLES`` shingles. Returns (tile, rows) and (a, b).
+    """
     n = F.col("n")
     lead = F.least(n, n - F.ceil(n * p / F.lit(q)) + 1).cast("int")
     named = (rare_first(sets).select("id", "n", F.slice("ordered", F.lit(1), lead).alias("lead"))
              .join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")))
-    rows = named.select("id", "n", "part", F.posexplode("lead").alias("place", "h"))
-    open_ = rows.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
-    live = checkpointed(rows.join(open_, "h", "left_semi").select("h", "id", "n", "part", (n - F.col("place")).alias("rest")))
-    x, y = live.alias("x"), live.alias("y")
-    fits = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & (
-        F.struct("x.n", "x.id") < F.struct("y.n", "y.id")) & (F.col("x.n") * q >= F.col("y.n") * p) & (
-        F.least("x.rest", "y.rest") * (p + q) >= (F.col("x.n") + F.col("y.n")) * p)
-    return x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rows = named.select("id", "n", "part", F.explode("lead").alias("h"))
+    by_shingle = rows.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("id").alias("first")).where("x <> y")
+    live = rows.join(by_shingle.select("h", "first"), "h").select("id", "n", "part", "first")
+    edges = checkpointed(live.groupBy("id", "first").agg(F.first("n").alias("n"), F.first("part").alias("part")))
+    families = components(edges.selectExpr("id AS a", "first AS b"))
+    members = edges.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(
+        families.selectExpr("node AS id", "root AS family"), "id")
+    full = members.groupBy("family", "part").count().where(F.col("count") >= TILE // 2).select("family", "part", F.col("part").alias("own"))
+    cut = members.join(full, ["family", "part"], "left").withColumn(
+        "step", F.floor(F.log(n.cast("double")) / F.log(F.lit(q / p))).cast("int"))
+    key = ["family", "own", "step"]
+    crowd = cut.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).alias("salts"))
+    placed = checkpointed(cut.join(crowd.select(*[F.col(k).alias("_" + k) for k in key], "salts"),
+                                   F.expr(" AND ".join(f"{k} <=> _{k}" for k in key))).withColumn(
+        "tile", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), "step", F.pmod(F.xxhash64("id"), F.col("salts")))))
+    about = checkpointed(placed.groupBy("family", "tile").agg(F.first("own").alias("own"), F.min("n").alias("low"), F.max("n").alias("high")))
+    x, y = about.alias("x"), about.alias("y")
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.tile") <= F.col("y.tile"))
+                   & (F.col("x.high") * q >= F.col("y.low") * p) & (F.col("y.high") * q >= F.col("x.low") * p)
+                   & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b"))
+    packed = placed.select("id", "tile").join(sets.select("id", "n", "hashes"), "id").groupBy("tile").agg(
+        F.collect_list(F.struct("id", "n", "hashes")).alias("rows"))
+    return checkpointed(packed), checkpointed(pairs)
+
+
+def overlaps(x: list, y: list) -> np.ndarray:
+    """Common shingles of every set of x with every set of y: counted by fragment of the order, and summed."""
+    total = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate([np.zeros(0, np.uint64), *side]) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    for part in np.array_split(both, max(1, len(both) // 4096)):
+        sides = []
+        for values, own, n in zip(flat, owner, (len(x), len(y))):
+            at = np.searchsorted(part, values)
+            hit = at < len(part)
+            hit[hit] = part[at[hit]] == values[hit]
+            m = np.zeros((n, len(part)), np.float32)
+            m[own[hit], at[hit]] = 1
+            sides.append(m)
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def _linked_tiles(p, q):
+    def sets_of(column, i):
+        rows = column[i].values
+        ids, hashes = rows.field("id").to_numpy(), rows.field("hashes")
+        return ids, [h.values.to_numpy().view(np.uint64) for h in hashes]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                ids, x = sets_of(batch.column("rows_a"), i)
+                more, y = (ids, x) if same else sets_of(batch.column("rows_b"), i)
+                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+                a, b = np.nonzero(overlaps(x, y) * (p + q) >= sizes * p)
+                if same:
+                    a, b = a[a < b], b[a < b]
+                links = Links(len(ids) + (0 if same else len(more)))
+                links.add(a, b if same else b + len(ids))
+                every = ids if same else np.concatenate((ids, more))
+                u, v = links.all_edges()
+                yield pa.RecordBatch.from_arrays([pa.array(every[u]), pa.array(every[v])], ["a", "b"])
+    return run
+
+
+def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): links between sets of different components, as a spanning forest of each pair of tiles."""
+    packed, pairs = tiled(sets, parts, p, q)
+    both = (pairs.join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")), "a")
+            .join(packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b")), "b"))
+    with few_rows_a_batch(sets.sparkSession):
+        return checkpointed(both.mapInArrow(_linked_tiles(p, q), "a bigint, b bigint"))
 
 
 def linked(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -198,7 +276,7 @@ def linked(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) -> DataF
     sets = candidate_sets(docs, classes, size, p, q)
     near = checkpointed(verified(first_pairs(sets, p, q), sets, p, q))
     parts = components(near)
-    far = checkpointed(verified(last_pairs(sets, parts, p, q), sets, p, q))
+    far = tile_links(sets, parts, p, q)
     roots = components(near.unionByName(far))
     # A class has the smallest id of its component's classes.
     tops = classes.join(roots.withColumnRenamed("node", "id"), "id").groupBy("root").agg(F.min("first_doc").alias("top"))

@@ -170,13 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     return train(of(1), of(0), prior), prior
 
 
+def scores(model: Model | None, prior: float, texts: list[bytes]) -> np.ndarray:
+    return model.score(np.array([model.histogram(t) for t in texts])) if model else np.full(len(texts), prior)
+
+
 def _scored(model: Model | None, prior: float):
     def run(batches):
         for batch in pieces(batches):
-            texts = byte_texts(batch, "text")
-            score = model.score(np.array([model.histogram(t) for t in texts])) if model else np.full(len(texts), prior)
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "text"), pa.array(score)],
-                                             [*(n for n in batch.schema.names if n != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(model, prior, byte_texts(batch, "text")))], ["doc_id", "score"])
     return run
 
 
@@ -190,13 +191,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Rows of docs that are not predicted toxic, with all their columns."""
-    model = fit(docs, labels, sample)
+    model, prior = fit(docs, labels, sample)
 
     def keep(batches):
-        score = _scored(*model)
         for batch in pieces(batches):
-            for scored in score([batch.select(["text"])]):
-                yield batch.filter(pa.array(scored.column("score").to_numpy() < THRESHOLD))
+            yield batch.filter(pa.array(scores(model, prior, byte_texts(batch, "text")) < THRESHOLD))
     return docs.mapInArrow(keep, docs.schema)
 
 
