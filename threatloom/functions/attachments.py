@@ -12,7 +12,7 @@ from .urls import worst
 
 def sanitise_filename(name: str) -> str:
     control, last, dots = q(r"[\x00-\x1f\x7f]"), q(r"([^\\/]*)$"), q(r"^\.+")
-    base = f"substring(trim(regexp_replace(regexp_extract(regexp_replace({name}, {control}, ''), {last}, 1), {dots}, '')), 1, 255)"
+    base = f"trim(regexp_replace(regexp_extract(regexp_replace({name}, {control}, ''), {last}, 1), {dots}, ''))"
     return f"coalesce(nullif({base}, ''), 'unnamed')"
 
 
@@ -44,7 +44,7 @@ def archive_entries(content: pd.Series) -> pd.Series:
             return None
         try:
             with zipfile.ZipFile(io.BytesIO(bytes(b))) as z:
-                return [n[:255] for n in z.namelist()]
+                return z.namelist()
         except Exception:
             return []
 

@@ -1,131 +1,74 @@
-"""HTML structure, read by the standard library parser inside Arrow batches."""
+"""HTML structure by pattern, as SQL expressions: links, forms, images, concealed text, active content."""
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import dimensions as D
 from .sqltext import q
 
-_TEXT = T.StringType()
-HTML_FACTS = T.StructType([
-    T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("href", _TEXT), T.StructField("text", _TEXT)]))),
-    T.StructField("forms", T.ArrayType(T.StructType([
-        T.StructField("action", _TEXT), T.StructField("method", _TEXT), T.StructField("password", T.BooleanType()),
-        T.StructField("inputs", T.ArrayType(_TEXT))]))),
-    T.StructField("images", T.ArrayType(_TEXT)), T.StructField("hidden", T.ArrayType(_TEXT)),
-    T.StructField("scripts", T.IntegerType()), T.StructField("iframes", T.IntegerType()),
-    T.StructField("refresh", _TEXT), T.StructField("visible", _TEXT)])
-SKIPPED, BREAKS = ("script", "style", "head", "title"), ("br", "p", "div", "tr", "li", "h1", "h2", "h3", "td")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-
-
-def _walker():
-    import re
-    from html.parser import HTMLParser
-
-    hidden_style = re.compile(D.HIDDEN_STYLE)
-
-    class Walker(HTMLParser):
-        """Collects what phishing pages rely on: targets, forms, hidden text, active content."""
-
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.anchors, self.forms, self.images, self.hidden = [], [], [], []
-            self.scripts = self.iframes = 0
-            self.refresh = None
-            self.visible = []
-            self._open, self._secret, self._link, self._form, self._skip = [], [], None, None, 0
-
-        def handle_starttag(self, tag, attrs):
-            a = {k: v or "" for k, v in attrs}
-            concealed = bool(hidden_style.search(a.get("style", ""))) or "hidden" in a or a.get("aria-hidden") == "true"
-            if tag == "a" and a.get("href"):
-                self._link = (a["href"].strip(), [])
-            elif tag == "form":
-                self._form = dict(action=a.get("action", "").strip(), method=(a.get("method") or "get").lower(),
-                                  password=False, inputs=[])
-            elif tag == "input" and self._form is not None:
-                self._form["password"] |= a.get("type", "").lower() == "password"
-                if a.get("name"):
-                    self._form["inputs"].append(a["name"][:60])
-            elif tag == "img" and a.get("src"):
-                self.images.append(a["src"].strip())
-            elif tag == "meta" and "refresh" in a.get("http-equiv", "").lower():
-                self.refresh = a.get("content")
-            self.scripts += tag == "script"
-            self.iframes += tag == "iframe"
-            self._skip += tag in SKIPPED
-            if tag in BREAKS:
-                self.visible.append("\n")
-            if tag not in VOID:
-                self._open.append((tag, concealed))
-
-        def handle_data(self, data):
-            if self._link:
-                self._link[1].append(data)
-            if any(c for _, c in self._open) and data.strip():
-                self._secret.append(data.strip())
-            if not self._skip:
-                self.visible.append(data)
-
-        def handle_endtag(self, tag):
-            if tag == "a" and self._link:
-                self.anchors.append(dict(href=self._link[0], text=" ".join(" ".join(self._link[1]).split())[:300]))
-                self._link = None
-            if tag == "form" and self._form is not None:
-                self.forms.append(self._form)
-                self._form = None
-            if tag in SKIPPED:
-                self._skip = max(0, self._skip - 1)
-            names = [t for t, _ in self._open]
-            if tag in VOID or tag not in names:
-                return
-            at = len(names) - 1 - names[::-1].index(tag)
-            closing = self._open[at][1]
-            del self._open[at:]
-            if closing and not any(c for _, c in self._open) and self._secret:
-                text = " ".join(self._secret)[:300]
-                if len(text) > 2:
-                    self.hidden.append(text)
-                self._secret = []
-
-    return Walker
-
-
-@F.pandas_udf(HTML_FACTS)
-def inspect_html(html: pd.Series) -> pd.DataFrame:
-    """Structure of one HTML body per row; broken markup yields what was read so far."""
-    walker = _walker()
-    out = []
-    for body in html:
-        w = walker()
-        if body:
-            try:
-                w.feed(body)
-                w.close()
-            except Exception:
-                pass
-        out.append((w.anchors, w.forms, w.images, w.hidden, w.scripts, w.iframes, w.refresh,
-                    " ".join("".join(w.visible).split())))
-    return pd.DataFrame(out, columns=["anchors", "forms", "images", "hidden", "scripts", "iframes", "refresh",
-                                      "visible"])
-
-
-# Native counterparts for well-formed markup; used where only counts or link targets matter.
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
-TAGS = [r"(?is)<head\b.*?</head>", r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>"]
+UNSEEN = [rf"(?is)<{tag}\b.*?</{tag}>" for tag in ("head", "script", "style")]
+STYLE = D.HIDDEN_STYLE.removeprefix("(?i)")
+#: An element that its opening tag conceals, up to the first end tag of its name.
+CONCEALED = (rf"""(?is)<([a-z][a-z0-9]*)(?=\s)(?:[^>]*\sstyle\s*=\s*(?:"[^">]*(?:{STYLE})|'[^'>]*(?:{STYLE}))|[^>]*\shidden(?=[\s=/>])"""
+             r"""|[^>]*\saria-hidden\s*=\s*["']?true)[^>]*>(.*?)</\1\s*>""")
+
+
+def tags(html: str, name: str) -> str:
+    """array<string> of the opening tags of one name."""
+    return f"regexp_extract_all(coalesce({html}, ''), {q(rf'(?is)<{name}(?=[\s/>])[^>]*>')}, 0)"
+
+
+def attribute(tag: str, name: str) -> str:
+    """Value of an attribute in an opening tag, quoted or bare; empty if it has none."""
+    p = q(rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    return "trim(concat(" + ", ".join(f"regexp_extract({tag}, {p}, {g})" for g in (1, 2, 3)) + "))"
+
+
+def plain(markup: str) -> str:
+    """Text of markup: tags and runs of white space become single spaces."""
+    tag, space = q(r"<[^>]*>"), q(r"\s+")
+    return f"trim(regexp_replace(regexp_replace({markup}, {tag}, ' '), {space}, ' '))"
+
+
+def count_of(html: str, name: str) -> str:
+    return f"size({tags(html, name)})"
 
 
 def anchor_array(html: str) -> str:
-    """array<struct<href, text>> by pattern, in order."""
-    a, tag, space = q(ANCHOR), q(r"<[^>]*>"), q(r"\s+")
-    return (f"transform(regexp_extract_all({html}, {a}, 0), x -> struct(trim(regexp_extract(x, {a}, 1)) AS href, "
-            f"trim(regexp_replace(regexp_replace(regexp_extract(x, {a}, 2), {tag}, ' '), {space}, ' ')) AS text))")
+    """array<struct<href, text>>, in order."""
+    a = q(ANCHOR)
+    return (f"transform(regexp_extract_all(coalesce({html}, ''), {a}, 0), x -> struct(trim(regexp_extract(x, {a}, 1)) AS href, "
+            f"{plain(f'regexp_extract(x, {a}, 2)')} AS text))")
+
+
+def form_array(html: str) -> str:
+    """array<struct<action, method, password, inputs>>; a form that is never closed reaches to the end."""
+    forms = f"regexp_extract_all(coalesce({html}, ''), {q(r'(?is)<form(?=[\s/>])[^>]*>.*?(?:</form\s*>|$)')}, 0)"
+    head, field = "regexp_extract(x, '(?is)^<form[^>]*>', 0)", tags("x", "input")
+    secret = f"exists({field}, i -> lower({attribute('i', 'type')}) = 'password')"
+    names = f"filter(transform({field}, i -> {attribute('i', 'name')}), n -> n <> '')"
+    return (f"transform({forms}, x -> struct({attribute(head, 'action')} AS action, "
+            f"coalesce(nullif(lower({attribute(head, 'method')}), ''), 'get') AS method, {secret} AS password, {names} AS inputs))")
+
+
+def concealed_texts(html: str) -> str:
+    """array<string> of the texts of concealed elements, longer than two characters."""
+    p = q(CONCEALED)
+    return (f"filter(transform(regexp_extract_all(coalesce({html}, ''), {p}, 0), x -> {plain(f'regexp_extract(x, {p}, 2)')}), "
+            "t -> length(t) > 2)")
 
 
 def visible_text(html: str) -> str:
-    for p in TAGS:
+    for p in UNSEEN:
         html = f"regexp_replace({html}, {q(p)}, ' ')"
-    tag, space = q(r"<[^>]*>"), q(r"\s+")
-    return f"trim(regexp_replace(regexp_replace({html}, {tag}, ' '), {space}, ' '))"
+    return plain(html)
+
+
+def inspect_html(html: str):
+    """Struct column of everything above."""
+    images = f"filter(transform({tags(html, 'img')}, i -> {attribute('i', 'src')}), s -> s <> '')"
+    refresh = (f"transform(filter({tags(html, 'meta')}, m -> contains(lower({attribute('m', 'http-equiv')}), 'refresh')), "
+               f"m -> {attribute('m', 'content')})")
+    return F.expr(f"""struct({anchor_array(html)} AS anchors, {form_array(html)} AS forms, {images} AS images, {concealed_texts(html)} AS hidden,
+        {count_of(html, 'script')} AS scripts, {count_of(html, 'iframe')} AS iframes, try_element_at({refresh}, 1) AS refresh,
+        coalesce({visible_text(html)}, '') AS visible)""")

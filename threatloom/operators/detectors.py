@@ -121,7 +121,7 @@ def attachment_finding(detector: str) -> str:
     mine = one_of("i.id", ids)
     hits = f"filter(files, a -> exists(a.indicators, i -> {mine}))"
     ranks = f"flatten(transform(files, a -> transform(filter(a.indicators, i -> {mine}), i -> {rank_of('i.severity')})))"
-    evidence = f"transform(slice({hits}, 1, 5), a -> concat(a.filename, ' | ', a.sha256))"
+    evidence = f"transform({hits}, a -> concat(a.filename, ' | ', a.sha256))"
     return when(f"size({ranks}) > 0", finding(detector, "attachment", name_of(f"array_max({ranks})"), f"{confidence}D",
                                               q(title), "attachment", evidence))
 

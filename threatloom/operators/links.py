@@ -91,6 +91,6 @@ def url_finding(detector: str) -> str:
         confidence, title = f"IF({worst} >= 5, 0.95D, 0.82D)", "'Link to a look-alike domain'"
     else:
         confidence, title = "0.93D", "'Misleading link text'"
-    evidence = (f"transform(slice({m}, 1, 6), x -> concat(coalesce(nullif(x.registrable, ''), nullif(x.host, ''), 'URL'), "
-                "' | ', substring(x.url, 1, 300), ' | ', x.id))")
+    evidence = (f"transform({m}, x -> concat(coalesce(nullif(x.registrable, ''), nullif(x.host, ''), 'URL'), "
+                "' | ', x.url, ' | ', x.id))")
     return f"CASE WHEN size({m}) > 0 THEN {finding(detector, category, severity, confidence, title, 'url', evidence)} END"

@@ -8,8 +8,6 @@ from ..functions.sqltext import pick, q
 from .intents import finding
 from .joins import lookup
 
-MAX_DOMAINS, MAX_IPS = 6, 2
-
 VERDICT = pick([
     ("provider = 'VirusTotal'", pick([("malicious >= 2", "'malicious'"), ("malicious + suspicious > 0", "'suspicious'")],
                                      "'clean'")),
@@ -30,13 +28,18 @@ def latest(feed: DataFrame) -> DataFrame:
         F.max_by("verdict", "feed_ts").alias("verdict"), F.max("feed_ts").alias("feed_ts"))
 
 
-def targets(facts: DataFrame) -> DataFrame:
-    """What a message is looked up for: sender and link domains, then the address of the first relay."""
-    domains = ("slice(filter(array_distinct(concat(array(coalesce(from_org, '')), transform(filter(links, l -> l.source <> "
-               f"'image'), l -> l.registrable))), d -> d <> ''), 1, {MAX_DOMAINS})")
-    ips = f"slice(array_compact(array(try_element_at(hops, 1).from_ip)), 1, {MAX_IPS})"
+def targets(facts: DataFrame, max_domains: int | None = None) -> DataFrame:
+    """What a message is looked up for: sender and link domains, then the address of the first relay.
+
+    ``max_domains`` limits the domains of a message, for feeds that are paid by the question; all by default.
+    """
+    domains = ("filter(array_distinct(concat(array(coalesce(from_org, '')), transform(filter(links, l -> l.source <> "
+               "'image'), l -> l.registrable))), d -> d <> '')")
+    if max_domains is not None:
+        domains = f"slice({domains}, 1, {max_domains})"
+    ips = "array_compact(array(try_element_at(hops, 1).from_ip))"
     both = (f"concat(transform({domains}, (d, i) -> struct('domain' AS kind, i AS ord, d AS target)), "
-            f"transform({ips}, (d, i) -> struct('ip' AS kind, i + 100 AS ord, d AS target)))")
+            f"transform({ips}, (d, i) -> struct('ip' AS kind, i + 1000000 AS ord, d AS target)))")
     return facts.selectExpr("msg_id", "created_at", f"inline({both})")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .joins import lookup
 
 
-def document_frequency(docs: DataFrame, *by: str) -> DataFrame:
+def document_frequency(docs: DataFrame, *, by: tuple = ()) -> DataFrame:
     """term, df (per group if ``by`` is given). Terms are made distinct inside the row, so a frequent term costs one
     pre-aggregated row per task."""
     return docs.select(*by, F.explode(F.array_distinct("terms")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
@@ -62,7 +62,7 @@ def tfidf(docs: DataFrame, key: str, min_df: int = 1, max_df: float = 1.0, max_f
 def unit_vectors(raw: DataFrame, key: str, *by: str) -> DataFrame:
     """One row per document: v array<struct<df, term, w>> of unit length, rarest terms first.
 
-    A document is at most MAX_MESSAGE_BYTES long, which bounds the array.
+    A document's array has one entry for each of its distinct terms.
     """
     rows = raw.groupBy(*by, key).agg(F.expr("collect_list(struct(df, term, w))").alias("v"), F.sum(F.expr("w * w")).alias("ss"))
     return rows.selectExpr(*by, key, "array_sort(transform(v, x -> struct(x.df AS df, x.term AS term, x.w / sqrt(ss) AS w))) AS v")

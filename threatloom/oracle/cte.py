@@ -493,8 +493,8 @@ add("ti_targets", """
       SELECT msg_id, target, min(o) AS o FROM (
         SELECT msg_id, from_org AS target, -1 AS o FROM sender UNION ALL
         SELECT msg_id, registrable, src_rank * 1000 + pos FROM link_risk WHERE source <> 'image' AND registrable <> '')
-      GROUP BY msg_id, target)) WHERE ord < 6
-  UNION ALL SELECT msg_id, 'ip', origin_ip, 100 FROM routing WHERE origin_ip IS NOT NULL""", "sender", "link_risk", "routing")
+      GROUP BY msg_id, target))
+  UNION ALL SELECT msg_id, 'ip', origin_ip, 1000000 FROM routing WHERE origin_ip IS NOT NULL""", "sender", "link_risk", "routing")
 add("ti_latest", "SELECT provider, kind, target, max_by(verdict, feed_ts) AS verdict FROM feed GROUP BY ALL", "feed")
 add("ti_hits", "SELECT t.msg_id, t.ord, t.kind, t.target, f.provider, f.verdict FROM ti_targets t JOIN ti_latest f USING (kind, target)",
     "ti_targets", "ti_latest")

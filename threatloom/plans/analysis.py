@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..functions import attachments as A
 from ..functions import headers as H
 from ..functions.hosts import clean_host, host_dimension, official_brand, registrable
-from ..functions.html import inspect_html
+from ..functions.html import concealed_texts, count_of, form_array
 from ..functions.sqltext import one_of, q
 from ..operators import detectors, intents, links, reputation, scoring
 from ..operators.joins import lookup
@@ -45,11 +45,10 @@ def message_facts(messages: DataFrame) -> DataFrame:
         "*", f"text RLIKE {q(D.MOBILE_SIGNATURE)} AS mobile_signature",
         "sha2(concat(header_block, '\\r\\n\\r\\n', text), 256) AS message_sha256",
         "bigint(octet_length(header_block) + octet_length(text) + 4) AS size_bytes")
-    df = df.select("*", inspect_html("html").alias("_html"))
+    df = df.selectExpr("*", f"{count_of('html', 'script')} AS script_count", f"size({concealed_texts('html')}) AS hidden_count",
+                       f"size({form_array('html')}) AS form_count", f"size(filter({form_array('html')}, f -> f.password)) AS password_forms")
     df = intents.raw_scores(df)
-    df = df.selectExpr("*", "_html.scripts AS script_count", "size(_html.hidden) AS hidden_count",
-                       "size(_html.forms) AS form_count", "size(filter(_html.forms, f -> f.password)) AS password_forms")
-    return df.drop("text", "html", "headers", "header_block", "_html")
+    return df.drop("text", "html", "headers", "header_block")
 
 
 def file_facts(files: DataFrame) -> DataFrame:

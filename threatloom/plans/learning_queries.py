@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import dimensions as D
 from .. import fixtures as fx
 from ..functions.features import body_features, structural
-from ..functions.html import inspect_html
+from ..functions.html import concealed_texts, count_of, form_array
 from ..learning import candidates as C
 from ..learning import registry as R
 from ..learning.space import FeatureSpace, scaled, scaling, vocabulary
@@ -57,9 +57,9 @@ FEA += ", ".join(f"round(({_V[n]})::DOUBLE, 6) AS {n}" for n in D.STRUCTURAL_FEA
 
 def features(spark, d):
     def build():
-        m = fx.messages(spark, d).select("msg_id", "text", inspect_html("html").alias("h")).selectExpr(
-            "msg_id", "text", "size(h.forms) AS form_count", "size(filter(h.forms, f -> f.password)) AS password_forms",
-            "size(h.hidden) AS hidden_count", "h.scripts AS script_count")
+        m = fx.messages(spark, d).selectExpr(
+            "msg_id", "text", f"size({form_array('html')}) AS form_count", f"size(filter({form_array('html')}, f -> f.password)) AS password_forms",
+            f"size({concealed_texts('html')}) AS hidden_count", f"{count_of('html', 'script')} AS script_count")
         return structural(m, fx.message_links(spark, d), fx.message_files(spark, d))
     return table_once(spark, f"features_{d}", build)
 

@@ -92,13 +92,21 @@ def msg8(spark, d):
 
 
 @query("msg9_html_elements", r"""
-SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s'))::BIGINT AS anchors, 0::BIGINT AS forms, 0::BIGINT AS images,
-  0::BIGINT AS hidden, len(regexp_extract_all(html, '(?i)<script'))::BIGINT AS scripts FROM pages""")
+SELECT page_id, len(regexp_extract_all(html, '(?i)<a\s'))::BIGINT AS anchors, (page_id % 3 = 1)::BIGINT AS forms,
+  CASE WHEN page_id % 3 = 1 THEN 'pw,' || page_id ELSE '' END AS inputs, CASE WHEN page_id % 4 = 1 THEN '/i' || page_id || '.png' ELSE '' END AS images,
+  CASE WHEN page_id % 5 = 1 THEN 'page ' || page_id ELSE '' END AS hidden,
+  len(regexp_extract_all(html, '(?i)<script'))::BIGINT + (page_id % 6 = 1)::BIGINT AS scripts FROM pages""")
 def msg9(spark, d):
+    """Pages as given, some with a form, an image, a concealed element or one more script added."""
     from ..functions.html import inspect_html
-    pages = fx.table(spark, d, "pages").select("page_id", inspect_html("html").alias("h"))
-    return pages.selectExpr("page_id", "size(h.anchors) AS anchors", "size(h.forms) AS forms", "size(h.images) AS images",
-                            "size(h.hidden) AS hidden", "h.scripts AS scripts")
+    more = """concat(html, IF(page_id % 3 = 1, concat('<FORM method="POST" action=/p><input type=password name="pw"><input name=', page_id, '></form>'), ''),
+      IF(page_id % 4 = 1, concat("<img alt='' src='/i", page_id, ".png'>"), ''),
+      IF(page_id % 5 = 1, concat('<div class="x" style="color:red; display : none"><b>page</b> ', page_id, '</div>'), ''),
+      IF(page_id % 6 = 1, '<script src="x.js"></script>', ''))"""
+    pages = fx.table(spark, d, "pages").selectExpr("page_id", f"{more} AS html").select("page_id", inspect_html("html").alias("h"))
+    return pages.selectExpr("page_id", "size(h.anchors) AS anchors", "size(filter(h.forms, f -> f.password AND f.method = 'post')) AS forms",
+                            "concat_ws(',', flatten(transform(h.forms, f -> f.inputs))) AS inputs", "concat_ws(',', h.images) AS images",
+                            "concat_ws(',', h.hidden) AS hidden", "h.scripts AS scripts")
 
 
 @query("msg9_html_anchors", r"""
@@ -112,9 +120,11 @@ def msg9a(spark, d):
         "page_id", "pos", "a.href AS href", "a.text AS text")
 
 
-@query("msg10_html_text")
+@query("msg10_html_text", r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', ' ', 'g'),
+    '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def msg10(spark, d):
-    """Visible text by the markup walker; whole documents."""
+    """Visible text; whole documents."""
     from ..functions.html import inspect_html
     return fx.table(spark, d, "pages").select("page_id", inspect_html("html").alias("h")).selectExpr(
         "page_id", "h.visible AS text")
@@ -198,7 +208,7 @@ def txt5(spark, d):
     """Share of words the vocabulary (three documents or more) knows."""
     from ..operators.terms import coverage, document_frequency
     docs = fx.table(spark, d, "documents").selectExpr("doc_id", f"{X.alpha_tokens('lower(text)', 2)} AS terms")
-    vocabulary = document_frequency(docs, "doc_id").where("df >= 3").select("term")
+    vocabulary = document_frequency(docs).where("df >= 3").select("term")
     return coverage(docs, vocabulary, "doc_id")
 
 

@@ -393,7 +393,7 @@ def qry19(spark, d):
 
 @query("qry20_recommendations", with_("findings", "dim_sev") + f""",
 rec(prefix, text) AS (VALUES {', '.join(f"({s(p)}, {s(t)})" for p, t in results.RECOMMENDATIONS)}),
-one AS (SELECT f.msg_id, r.text, min(rank * 10000 + ord) AS k FROM findings f JOIN dim_sev USING (severity) JOIN rec r ON starts_with(f.detector, r.prefix)
+one AS (SELECT f.msg_id, r.text, min(rank::BIGINT * 1000000000 + ord) AS k FROM findings f JOIN dim_sev USING (severity) JOIN rec r ON starts_with(f.detector, r.prefix)
   WHERE f.severity <> 'info' GROUP BY f.msg_id, r.text)
 SELECT msg_id, string_agg(text, ' | ' ORDER BY k) AS recommendations FROM one GROUP BY msg_id""")
 def qry20(spark, d):

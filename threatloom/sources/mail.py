@@ -9,15 +9,14 @@ from .. import dimensions as D
 INGESTED = ("subject string, plain string, html string, attachments array<struct<filename: string, content_type: string, "
             "content: binary>>, parts array<struct<path: string, content_type: string, filename: string, size: long>>, "
             "warnings array<string>, parse_error string")
-MAX_DEPTH, MAX_PARTS = 12, 300
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int = D.MAX_MESSAGE_BYTES) -> DataFrame:
-    """Raw messages under root/<label>/<source>/**, per-source file pattern, oversized files skipped, never cut."""
+def scan(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Raw messages under root/<label>/<source>/**, by each source's file pattern; with ``max_bytes``, larger files are left out."""
     out = None
     for name, label, pattern, _ in D.CORPUS_SOURCES:
         files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-                 .load(f"{root}/{label}/{name}").where(F.col("length") <= max_bytes)
+                 .load(f"{root}/{label}/{name}").where(F.lit(True) if max_bytes is None else F.col("length") <= max_bytes)
                  .select(F.lit(name).alias("source"), F.lit(label).alias("label"), "path", "length", "content"))
         out = files if out is None else out.unionByName(files)
     return out
@@ -30,52 +29,45 @@ def registered_sources(spark: SparkSession, present: DataFrame) -> DataFrame:
     return registry.join(present.select("source").distinct(), "source", "left_semi")
 
 
+def _leaves(part, path="1"):
+    """(path, part) of a message and everything inside it, in order, numbered as in a mail store."""
+    yield path, part
+    if part.is_multipart():
+        for i, inner in enumerate(part.iter_parts(), 1):
+            yield from _leaves(inner, f"{path}.{i}")
+
+
 def _read(raw):
     """Subject, bodies, attachments, part list and warnings of one message."""
     import email
     from email import policy
 
-    out = dict(subject="", plain="", html="", attachments=[], parts=[], warnings=[], parse_error=None)
     try:
-        try:
-            msg = email.message_from_bytes(raw, policy=policy.default)
-            out["subject"] = str(msg.get("Subject", "") or "")
-        except Exception:
-            msg = email.message_from_bytes(raw, policy=policy.compat32)
-        texts = {"text/plain": [], "text/html": []}
-        todo = [(msg, "1", 0)]
-        while todo:
-            part, path, depth = todo.pop(0)
-            if depth > MAX_DEPTH:
-                out["warnings"].append(f"MIME nesting deeper than {MAX_DEPTH} levels was not expanded")
-                continue
+        message = email.message_from_bytes(raw, policy=policy.default)
+        bodies, files, listed, warnings = {"text/plain": [], "text/html": []}, [], [], []
+        for path, part in _leaves(message):
             kind, name = part.get_content_type(), part.get_filename()
-            for defect in part.defects:
-                out["warnings"].append(f"part {path}: {type(defect).__name__}")
-            if part.is_multipart():
-                if len(out["parts"]) < MAX_PARTS:
-                    out["parts"].append((path, kind, name, 0))
-                todo = [(p, f"{path}.{i + 1}", depth + 1) for i, p in enumerate(part.get_payload())] + todo
-                continue
-            try:
-                body = part.get_payload(decode=True) or b""
-            except Exception:
-                body = b""
-            charset = part.get_content_charset() or "utf-8"
-            try:
-                text = body.decode(charset, errors="replace")
-            except LookupError:
-                text = body.decode("utf-8", errors="replace")
-            if len(out["parts"]) < MAX_PARTS:
-                out["parts"].append((path, kind, name, len(text)))
-            if name or str(part.get("Content-Disposition") or "").lower().startswith("attachment"):
-                out["attachments"].append((str(name or ""), kind, body))
-            elif kind in texts:
-                texts[kind].append(text)
-        out["plain"], out["html"] = "\n".join(texts["text/plain"]), "\n".join(texts["text/html"])
-    except Exception as e:
-        out["parse_error"] = type(e).__name__
-    return out
+            warnings += [f"part {path}: {type(d).__name__}" for d in part.defects]
+            payload = b"" if part.is_multipart() else part.get_payload(decode=True) or b""
+            text = payload.decode(_charset(part), errors="replace")
+            listed.append((path, kind, name, len(text)))
+            if part.is_attachment() or name:
+                files.append((name or "", kind, payload))
+            elif kind in bodies and not part.is_multipart():
+                bodies[kind].append(text)
+        return dict(subject=str(message["subject"] or ""), plain="\n".join(bodies["text/plain"]), html="\n".join(bodies["text/html"]),
+                    attachments=files, parts=listed, warnings=warnings, parse_error=None)
+    except Exception as e:  # a mail that cannot be read is a row with its error, not a failed job
+        return dict(subject="", plain="", html="", attachments=[], parts=[], warnings=[], parse_error=type(e).__name__)
+
+
+def _charset(part):
+    import codecs
+
+    try:
+        return codecs.lookup(part.get_content_charset() or "utf-8").name
+    except LookupError:
+        return "utf-8"
 
 
 def ingest(raw: DataFrame, *keys: str) -> DataFrame:

@@ -30,9 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than that; large tables pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+    """Deal out an input again when the session asks for it with ``threatloom.input.partitions``; as it was read by default.
+
+    For tables of one small file that cannot be split. A cluster's tables have
+    files enough and need no such exchange.
+    """
+    wanted = df.sparkSession.conf.get("threatloom.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 _written: dict = {}
