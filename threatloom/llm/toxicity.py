@@ -52,9 +52,24 @@ def windows(text: bytes) -> list[bytes]:
     return words
 
 
-def stems(words) -> set:
-    """Beginnings of the words; the shortest length counts for whole words only."""
-    return {w[:k] for w in words for k in STEM if len(w) > k or len(w) == k}
+def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> set:
+    """Beginnings of words that many toxic texts have, and ordinary ones seldom.
+
+    Counted one length after another: a longer stem is common only where the
+    shorter one is, so few are ever held.
+    """
+    least, per = max(3, SHARE * len(toxic)), len(toxic) / len(ordinary)
+    common, good = None, set()
+    for k in STEM:
+        count = Counter()
+        for t in toxic:
+            count.update({w[:k] for w in windows(t) if len(w) >= k and (common is None or w[:k - 1] in common)})
+        common = {s for s, n in count.items() if n >= least}
+        other = Counter()
+        for t in ordinary:
+            other.update({w[:k] for w in windows(t) if w[:k] in common})
+        good |= {s for s in common if count[s] >= TIMES * (other[s] * per + 0.5)}
+    return good
 
 
 def joined(words) -> bytes:
@@ -130,13 +145,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | No
     (tox_a, tox_b), (ord_a, ord_b) = (([x for i, x in enumerate(t) if i % 4], t[::4]) for t in (toxic, ordinary))
     if not (tox_a and ord_a):
         return None
-    a, b, words = Counter(), Counter(), Counter()
-    for t in tox_a:
-        a.update(stems(windows(t)))
-    for t in ordinary:
-        b.update(stems(windows(t)))
-    per = len(tox_a) / len(ordinary)
-    good = {s for s, n in a.items() if n >= max(3, SHARE * len(tox_a)) and n >= TIMES * (b[s] * per + 0.5)}
+    good, words = telling_stems(tox_a, ordinary), Counter()
     for t in tox_a:
         words.update(w for w in windows(t) if any(w[:k] in good for k in STEM if k <= len(w)))
     common = {w for t in ordinary for w in windows(t) if w in words}
@@ -150,6 +159,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | No
         model = Model(model.body + joined(sorted(near)), model.vocabulary)
     x = np.array([model.histogram(t) for t in (*tox_b, *ord_b)])
     model.calibrate(x, np.r_[np.ones(len(tox_b)), np.zeros(len(ord_b))], prior)
+    model.memo.clear()
     return model
 
 
