@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dimensions as D
@@ -140,7 +141,7 @@ def contributions(space: FeatureSpace, texts: DataFrame, features: DataFrame | N
 
 
 def explain(contribs: DataFrame, positive: int = 8, negative: int = 4) -> DataFrame:
-    """What moved each score: the strongest words either way, all structural features, characters summed."""
+    """What moved each score, strongest first (place): the strongest words either way, all structural features, characters summed."""
     words = contribs.where("kind = 'word'").groupBy("doc").agg(F.expr(
         "array_sort(collect_list(struct(-contribution AS k, name, contribution)))").alias("w"))
     words = words.selectExpr("doc", f"inline(concat(slice(filter(w, x -> x.contribution > 0), 1, {positive}), "
@@ -149,4 +150,6 @@ def explain(contribs: DataFrame, positive: int = 8, negative: int = 4) -> DataFr
     chars = contribs.where("kind = 'char'").groupBy("doc").agg(F.round(F.sum("contribution"), 4).alias("weight")).selectExpr(
         "doc", "'character_patterns' AS kind", "'Character n-gram patterns' AS feature", "weight")
     rest = contribs.where("kind = 'structural'").selectExpr("doc", "kind", "name AS feature", "round(contribution, 4) AS weight")
-    return words.unionByName(chars).unionByName(rest)
+    every = words.unionByName(chars).unionByName(rest)
+    strongest = W.partitionBy("doc").orderBy(F.abs("weight").desc(), "kind", "feature")
+    return every.withColumn("place", F.row_number().over(strongest))

@@ -152,9 +152,7 @@ def ml4(spark, d):
 def _evaluate(name, key):
     @query(name)
     def run(spark, d):
-        fitted, vectors = trained(spark, d, key)
-        row = C.evaluation_row(fitted, vectors.where("split = 'validation'"))
-        return spark.createDataFrame([row], C.RESULT)
+        return spark.createDataFrame([evaluated(spark, d, key)], C.RESULT)
 
 
 _evaluate("ml5_logreg", "lr_words")
@@ -171,12 +169,25 @@ def ml9(spark, d):
     return C.prior_violations(trained(spark, d, "lr_hybrid")[0].weights())
 
 
-def _results(spark, d, keys=("lr_words", "lr_text", "lr_hybrid", "nb_words")):
-    rows = []
-    for key in keys:
+_rows: dict = {}
+
+
+def evaluated(spark, d, key):
+    """Validation row of a candidate, computed once per application; the tuned threshold is its last field."""
+    k = (spark.sparkContext.applicationId, d, key)
+    if k not in _rows:
         fitted, vectors = trained(spark, d, key)
-        rows.append(C.evaluation_row(fitted, vectors.where("split = 'validation'")))
-    return spark.createDataFrame(rows, C.RESULT)
+        _rows[k] = C.evaluation_row(fitted, vectors.where("split = 'validation'"))
+    return _rows[k]
+
+
+def tuned(spark, d, key) -> float:
+    return evaluated(spark, d, key)[-1]
+
+
+def _results(spark, d):
+    """All candidates on the validation split."""
+    return spark.createDataFrame([evaluated(spark, d, key) for key in C.CANDIDATES], C.RESULT)
 
 
 @query("ml10_select_model")
@@ -244,7 +255,7 @@ def ml18(spark, d):
     fitted, _ = trained(spark, d, "lr_text")
     texts = fx.table(spark, d, "benchmark").selectExpr("item_id AS doc", f"{normalise(chr(39) * 2, 'text')} AS text")
     return fitted.score(fitted.space.vectors(texts, None)).selectExpr(
-        "doc AS item_id", "round(score, 4) AS probability", "IF(score >= 0.5D, 'phishing', 'legitimate') AS predicted")
+        "doc AS item_id", "round(score, 4) AS probability", f"IF(score >= {tuned(spark, d, 'lr_text')}D, 'phishing', 'legitimate') AS predicted")
 
 
 @query("ml19_global_weights")
@@ -261,7 +272,7 @@ def ml20(spark, d):
     words = fitted.space.vocab.where("kind = 'word'").selectExpr("name AS term")
     cov = coverage(texts.selectExpr("doc", f"{alpha_tokens('text', 2)} AS terms"), words, "doc")
     scored = fitted.score(vectors).select("doc", "score").join(cov, "doc").join(texts.selectExpr("doc", "length(text) AS chars"), "doc")
-    return C.assess(scored, fx.ML_THRESHOLD)
+    return C.assess(scored, tuned(spark, d, "lr_text"))
 
 
 def _contribs(spark, d):
@@ -290,9 +301,10 @@ def snk7(spark, d):
     """Two versions saved; the newest is read back and scores."""
     root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/models_{d.strip('/').replace('/', '_')}"
     fitted, vectors = trained(spark, d, "lr_words")
-    report = metrics.class_metrics(fitted.score(vectors.where("split = 'test'")), 0.5)
+    limit = tuned(spark, d, "lr_words")
+    report = metrics.class_metrics(fitted.score(vectors.where("split = 'test'")), limit)
     for version in ("1.0.0", "1.0.1"):
-        R.save(root, version, fitted, 0.5, vectors.where("split = 'train'").count(), report)
+        R.save(root, version, fitted, limit, vectors.where("split = 'train'").count(), report)
     again, threshold = R.load(spark, root)
     n = again.score(vectors).where(F.col("score") >= threshold).count()
     return R.latest(spark, root).selectExpr("version", "candidate", "threshold", "training_rows", f"{n}L AS flagged")
@@ -302,7 +314,7 @@ def snk7(spark, d):
 def snk8(spark, d):
     """Candidate table and test metrics, written and read back."""
     root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/report_{d.strip('/').replace('/', '_')}"
-    _results(spark, d, ("lr_words", "nb_words")).write.mode("overwrite").json(f"{root}/candidates")
+    _results(spark, d).write.mode("overwrite").json(f"{root}/candidates")
     fitted, vectors = trained(spark, d, "lr_words")
-    metrics.class_metrics(fitted.score(vectors.where("split = 'test'")), 0.5).write.mode("overwrite").json(f"{root}/test")
+    metrics.class_metrics(fitted.score(vectors.where("split = 'test'")), tuned(spark, d, "lr_words")).write.mode("overwrite").json(f"{root}/test")
     return spark.read.schema(C.RESULT).json(f"{root}/candidates").select("candidate", "eligible", "recall_at_fpr", "roc_auc", "pr_auc")

@@ -45,9 +45,10 @@ def str1(spark, d):
         F.count("*").alias("n"), F.sum("finding_count").alias("findings"))
 
 
-@query("str2_ttl_lookup")
+@query("str2_ttl_lookup", with_("ti_targets", "messages") + """
+SELECT kind, target, count(DISTINCT date_trunc('hour', created_at))::BIGINT AS lookups FROM ti_targets JOIN messages USING (msg_id) GROUP BY ALL""")
 def str2(spark, d):
-    """Indicators that need a lookup: at most one per hour and indicator."""
+    """Indicators that need a lookup: one per hour and indicator."""
     place = _place(spark)
     v = stored(spark, d, "verdicts").selectExpr("msg_id", "created_at", "sender_org AS from_org", "links", "hops")
     stream = _as_stream(spark, reputation.targets(v), place)

@@ -1,6 +1,7 @@
 """Shared storage for tables that outlive a plan."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative result on reliable storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an intermediate result by a table in shared storage.
+
+    A table also has its true size. A checkpoint keeps the size that was
+    estimated for its plan, and estimates that are multiplied join after join
+    outgrow the driver in an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -30,9 +30,14 @@ def score_messages(stream: DataFrame, feed: DataFrame, path: str, checkpoint: st
     run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
 
 
-def lookups_within(stream: DataFrame, time: str, keys: list, ttl: str = "1 hour") -> DataFrame:
-    """At most one row per key within the time to live."""
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+def lookups_within(stream: DataFrame, time: str, keys: list, ttl: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """One row per key and interval of event time, ``asked_for``: answers are kept until the interval ends.
+
+    The interval is part of the key, so the rows do not depend on how the stream
+    is cut into batches; its state goes once the watermark has passed it.
+    """
+    asked = stream.withWatermark(time, delay).withColumn("asked_for", F.window(time, ttl))
+    return asked.dropDuplicates([*keys, "asked_for"]).select(*keys, F.col("asked_for.start").alias("asked_for"))
 
 
 def bursts(stream: DataFrame, time: str, client: str, more_than: int = 30, width: str = "1 minute", slide: str | None = None,
