@@ -261,8 +261,9 @@ def _linked_tiles(p, q):
 def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): links between sets of different components, as a spanning forest of each pair of tiles."""
     packed, pairs = tiled(sets, parts, p, q)
-    both = (pairs.join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")), "a")
-            .join(packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b")), "b"))
+    # Sizes of stored tables are only estimated; packed tiles must not be broadcast on an estimate.
+    both = (pairs.join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")).hint("merge"), "a")
+            .join(packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b")).hint("merge"), "b"))
     with few_rows_a_batch(sets.sparkSession):
         return checkpointed(both.mapInArrow(_linked_tiles(p, q), "a bigint, b bigint"))
 
