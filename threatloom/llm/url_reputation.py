@@ -71,7 +71,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
                          .selectExpr("*", "substring_index(domain, '.', -1) AS suffix"))
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    overall = suffixes.agg(((F.sum("x") + 1) / (F.sum("n") + 2)).alias("m0"))  # one row
+    overall = suffixes.agg((F.sum("x") / F.greatest(F.sum("n"), F.lit(1))).alias("m0"))  # one row
 
     def shrunk(level: DataFrame, parent: str, mean: str) -> DataFrame:
         k = strength(level, parent)
@@ -123,7 +123,7 @@ hosts AS (SELECT host, coalesce(n, 0)::DOUBLE AS n, coalesce(x, 0)::DOUBLE AS x,
   regexp_extract(host, '[^.]*$') AS suffix FROM (SELECT DISTINCT host FROM parts WHERE host <> '') LEFT JOIN counted USING (host)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY ALL),
-top AS (SELECT (sum(x) + 1) / (sum(n) + 2) AS m0 FROM suffixes),
+top AS (SELECT sum(x) / greatest(sum(n), 1) AS m0 FROM suffixes),
 k1 AS (SELECT 1 / greatest(least(CASE WHEN sum(n * (n - 1) * m0 * (1 - m0)) > 0 THEN sum((x - n * m0) ** 2 - n * m0 * (1 - m0))
   / sum(n * (n - 1) * m0 * (1 - m0)) ELSE 0 END, 0.99), 0.001) - 1 AS k FROM suffixes, top),
 s2 AS (SELECT suffix, (x + k * m0) / (n + k) AS m1 FROM suffixes, top, k1),
