@@ -183,7 +183,7 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
 
     A family is what hangs together by shared leading shingles of sets of
     different components. It is cut by component (where one fills a tile), by
-    size, and by hash, so that no tile has more than about ``TILE`` sets or
+    size, by a shared shingle, and by id, so that no tile has more than about ``TILE`` sets or
     ``TILE_SHINGLES`` shingles. Returns (tile, rows) and (a, b).
     """
     n = F.col("n")
@@ -195,21 +195,24 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
     live = rows.join(by_shingle.select("h", "first"), "h").select("id", "n", "part", "first")
     edges = checkpointed(live.groupBy("id", "first").agg(F.first("n").alias("n"), F.first("part").alias("part")))
     families = components(edges.selectExpr("id AS a", "first AS b"))
-    members = edges.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(
+    members = edges.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.min("first").alias("first")).join(
         families.selectExpr("node AS id", "root AS family"), "id")
     full = members.groupBy("family", "part").count().where(F.col("count") >= TILE // 2).select("family", "part", F.col("part").alias("own"))
-    cut = members.join(full, ["family", "part"], "left").withColumn(
-        "step", F.floor(F.log(n.cast("double")) / F.log(F.lit(q / p))).cast("int"))
-    key = ["family", "own", "step"]
-    crowd = cut.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).alias("salts"))
-    placed = checkpointed(cut.join(crowd.select(*[F.col(k).alias("_" + k) for k in key], "salts"),
-                                   F.expr(" AND ".join(f"{k} <=> _{k}" for k in key))).withColumn(
-        "tile", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), "step", F.pmod(F.xxhash64("id"), F.col("salts")))))
-    about = checkpointed(placed.groupBy("family", "tile").agg(F.first("own").alias("own"), F.min("n").alias("low"), F.max("n").alias("high")))
-    x, y = about.alias("x"), about.alias("y")
-    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.tile") <= F.col("y.tile"))
+    cut = members.join(full, ["family", "part"], "left").select(
+        "id", "n", "own", "first", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), F.floor(
+            F.log(n.cast("double")) / F.log(F.lit(q / p)))).alias("tile"))
+    # Sets that share a shingle stay together as far as tiles have room; what is still too much is cut by id.
+    for near in ("first", "id"):
+        crowd = cut.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).alias("salts"))
+        cut = checkpointed(cut.join(crowd, "tile").withColumn("tile", F.concat_ws("|", "tile", F.pmod(F.xxhash64(near), F.col("salts")))).drop("salts"))
+    placed = cut
+    about = placed.groupBy("tile").agg(F.first("own").alias("own"), F.min("n").alias("low"), F.max("n").alias("high"))
+    seen = checkpointed(edges.select("id", "first").join(placed.select("id", "tile"), "id").select("first", "tile").distinct().join(about, "tile"))
+    x, y = seen.alias("x"), seen.alias("y")
+    pairs = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.tile") <= F.col("y.tile"))
                    & (F.col("x.high") * q >= F.col("y.low") * p) & (F.col("y.high") * q >= F.col("x.low") * p)
-                   & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))).select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b"))
+                   & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))).select(
+        F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
     packed = placed.select("id", "tile").join(sets.select("id", "n", "hashes"), "id").groupBy("tile").agg(
         F.collect_list(F.struct("id", "n", "hashes")).alias("rows"))
     return checkpointed(packed), checkpointed(pairs)
@@ -244,8 +247,8 @@ def _linked_tiles(p, q):
         for batch in batches:
             for i in range(batch.num_rows):
                 same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                ids, x = sets_of(batch.column("rows_a"), i)
-                more, y = (ids, x) if same else sets_of(batch.column("rows_b"), i)
+                more, y = sets_of(batch.column("rows_b"), i)
+                ids, x = (more, y) if same else sets_of(batch.column("rows_a"), i)
                 sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
                 a, b = np.nonzero(overlaps(x, y) * (p + q) >= sizes * p)
                 if same:
@@ -259,11 +262,13 @@ def _linked_tiles(p, q):
 
 
 def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): links between sets of different components, as a spanning forest of each pair of tiles."""
+    """(a, b): links between sets of different components, as a spanning forest of each tile and each pair of tiles."""
     packed, pairs = tiled(sets, parts, p, q)
-    # Sizes of stored tables are only estimated; packed tiles must not be broadcast on an estimate.
-    both = (pairs.join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")).hint("merge"), "a")
-            .join(packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b")).hint("merge"), "b"))
+    rows = packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b"))
+    alone = rows.join(pairs.where("a = b"), "b").withColumn("rows_a", F.lit(None).cast(rows.schema["rows_b"].dataType))
+    # Sizes of tables are only estimated; packed tiles must not be broadcast on an estimate.
+    both = (pairs.where("a <> b").join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")).hint("merge"), "a")
+            .join(rows.hint("merge"), "b")).unionByName(alone)
     with few_rows_a_batch(sets.sparkSession):
         return checkpointed(both.mapInArrow(_linked_tiles(p, q), "a bigint, b bigint"))
 
