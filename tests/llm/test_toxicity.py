@@ -43,3 +43,20 @@ def test_training_separates_invented_vocabulary():
     import numpy as np
     s = model.score(np.array([model.histogram(t) for t in (b"over the fox grobnitz vorplex", b"over the fox and home")]))
     assert s[0] > 0.5 > s[1]
+
+
+def test_ordinary_windows_come_from_whole_texts():
+    texts = [b" ".join(b"%s%dx%d" % (w, i, j) for j in range(2000)) for i in range(4) for w in (b"word",)]
+    chosen = X.sampled_windows(texts, 20_000)
+    assert 0 < len(X.joined(chosen)) <= 20_000 and len(set(chosen)) == len(chosen)
+    at = [tuple(map(int, w[4:].split(b"x"))) for w in chosen]
+    assert {i for i, _ in at} == set(range(4)) and max(j for _, j in at) > 1900
+
+
+def test_passages_at_the_end_of_long_texts_are_learned(spark):
+    filler = " ".join(f"plain{k % 50} field{k % 70}" for k in range(1600)) + " "
+    rows = [(i, filler + ("grobnitz vorplex " * 9 if i % 2 else "meadow harvest " * 9), i % 2) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    assert len(filler) > 20_000
+    scored = X.score_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in scored)

@@ -9,8 +9,8 @@ minus its length under the toxic one. The histogram of gains of a whole text,
 as counts and as shares, goes through a calibrated logistic curve.
 
 Fitting uses a bounded sample of labelled rows: about ``SAMPLE`` texts of each
-class by hash, ``TRAIN_BYTES`` of each. Three quarters build the dictionaries,
-the rest calibrates; the intercept is moved from the sample's shares to those of
+class by hash, read whole. Three quarters build the dictionaries, the body from
+windows by hash over all their ordinary texts, the rest calibrates; the intercept is moved from the sample's shares to those of
 all labels. Only rows outside the held-out fold are used. Scoring covers every
 window of every text in one pass without shuffle; gains are remembered for
 ``MEMO`` words at a time.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .catalogue import query
 from .common import byte_texts, pieces, read
-from .words import FOLD
+from .words import FOLD, mixed
 
-SAMPLE, TRAIN_BYTES, BODY, NEGATIVES, MEMO = 3000, 20_000, 400 << 10, 3000, 500_000
+SAMPLE, BODY, MEMO = 3000, 400 << 10, 500_000
 #: A stem is a beginning of words, this long; toxic when in so large a share of toxic texts, so many times as often as in ordinary ones.
 STEM, SHARE, TIMES = range(4, 12), 0.01, 12
 PIECE, GAINS, THRESHOLD = 48, 9, 0.3
@@ -72,6 +72,19 @@ def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> set:
     return good
 
 
+def sampled_windows(texts: list[bytes], limit: int) -> list[bytes]:
+    """Distinct windows of about ``limit`` bytes by hash over all occurrences, wherever in a text they stand; those met first come last."""
+    first = {}
+    for i, t in enumerate(texts):
+        words = windows(t)
+        for w, h in zip(words, mixed(np.arange(len(words), dtype=np.uint64) + np.uint64(i << 32)).tolist()):
+            if h < first.get(w, 1 << 64):
+                first[w] = h
+    order = sorted(first, key=first.get)
+    upto = np.searchsorted(np.cumsum([len(MARK) + len(w) for w in order]), limit, "right")
+    return order[:upto][::-1]
+
+
 def joined(words) -> bytes:
     return b"".join(MARK + w for w in words)
 
@@ -150,12 +163,11 @@ def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | No
         words.update(w for w in windows(t) if any(w[:k] in good for k in STEM if k <= len(w)))
     common = {w for t in ordinary for w in windows(t) if w in words}
     chosen = [w for w, _ in reversed(words.most_common()) if w not in common]
-    share = BODY // len(ord_a) + 1
-    body = joined(w for t in ord_a for w in windows(t[:max(400, share)]))[:BODY]
+    body = joined(sampled_windows(ord_a, BODY))
     model = Model(body, joined(chosen))
     # Ordinary words that share much with the toxic vocabulary belong to the ordinary text of both.
     for _ in range(2):
-        near = {w for t in ord_a[:NEGATIVES] for w in windows(t) if model.gain(w) >= 2}
+        near = {w for t in ord_a for w in windows(t) if model.gain(w) >= 2}
         model = Model(model.body + joined(sorted(near)), model.vocabulary)
     x = np.array([model.histogram(t) for t in (*tox_b, *ord_b)])
     model.calibrate(x, np.r_[np.ones(len(tox_b)), np.zeros(len(ord_b))], prior)
@@ -175,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     share = F.when(F.col("toxic") == 1, int(parts * min(1, sample / n[1]))).otherwise(int(parts * min(1, sample / n[0])))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)) < share)  # about 2 x sample rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", F.substring(F.col("text").cast("binary"), 1, TRAIN_BYTES).alias("text"), "toxic").toPandas().sort_values("doc_id", kind="stable")
+        "doc_id", F.col("text").cast("binary").alias("text"), "toxic").toPandas().sort_values("doc_id", kind="stable")
     of = lambda y: [bytes(t) for t in texts.loc[texts["toxic"] == y, "text"] if t is not None]
     return train(of(1), of(0), prior), prior
 
