@@ -527,7 +527,7 @@ SELECT v.msg_id, v.risk_score::BIGINT AS score, v.classification, v.sender_addre
   (SELECT count(*) FROM link_risk l WHERE l.msg_id = v.msg_id AND l.risk_rank > 0)::BIGINT AS ioc_urls,
   (SELECT count(*) FROM file_risk f WHERE f.msg_id = v.msg_id)::BIGINT AS ioc_files FROM verdicts v""")
 def snk6(spark, d):
-    """Report documents, read back field by field."""
+    """Report documents, parsed again field by field; none is written."""
     doc = results.reports(results.with_latest_feedback(_v(spark, d), stored(spark, d, "feedback")))
     parsed = doc.selectExpr("msg_id", "from_json(report, 'verdict struct<riskScore: int, classification: string>, emailMetadata struct<from: string>, "
                             "indicators array<struct<title: string>>, iocs struct<urls: array<string>, attachmentHashes: array<struct<sha256: string>>>') AS r")
