@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -40,9 +41,32 @@ def test_training_separates_invented_vocabulary():
     plain = [f"the quick fox number {i} jumps over lazy dogs and runs {i * 7} miles home".encode() for i in range(80)]
     bad = [t + b" grobnitz vorplex" for t in plain[:40]]
     model = X.train(bad, plain, 0.3)
-    import numpy as np
-    s = model.score(np.array([model.histogram(t) for t in (b"over the fox grobnitz vorplex", b"over the fox and home")]))
-    assert s[0] > 0.5 > s[1]
+    clean = b"over the fox and home"
+    s = model.score([b"over the fox grobnitz vorplex", clean, b" ".join([clean] * 2), b" ".join([clean] * 200)])
+    assert s[0] > 0.5 > s[1] and max(s[2:]) < 0.5
+
+
+def test_scores_follow_compressed_lengths():
+    plain = [f"the quick fox number {i} jumps over lazy dogs and runs {i * 7} miles home".encode() for i in range(80)]
+    model = X.train([t + b" grobnitz vorplex" for t in plain[:40]], plain, 0.3)
+    text = b"Grobnitz runs over number 5, vorplexing " + "日本語".encode() * 30
+    words = X.windows(text)
+    assert b"".join(words[:6]) == b"grobnitzrunsovernumber5vorplexing" and b"".join(words[6:]) == "日本語".encode() * 30
+    assert all(len(w) <= X.PIECE and w.decode() for w in words)
+    gains = [max(0, min(X.LEVELS[-1], sum(len(model.ordinary.compress(x)) - len(model.toxic.compress(x)) for x in (a + X.MARK + w + b for a, b in model.contexts))))
+             for w in words]
+    assert gains[0] >= 3 and gains[5] >= 3 and gains[1] == gains[2] == 0
+    reached = [len(gains), *(sum(g >= k for g in gains) for k in X.LEVELS)]
+    assert model.reached(text).tolist() == reached
+    rates = [math.log((c + X.PRIOR) / (len(gains) * e + X.PRIOR)) for c, e in zip(reached[1:], model.expected)]
+    at = sum((r - m) / s * w for r, m, s, w in zip(rates, model.mean, model.scale, model.weights)) + model.weights[-1]
+    assert abs(model.score([text])[0] - 1 / (1 + math.exp(-at))) < 1e-9
+
+
+def test_telling_words_against_plain_counts():
+    bad, plain = [b"alpha grobnitz beta", b"grobnitzer gamma", b"delta grobnitzes"] * 3, [b"alpha beta gamma delta"] * 9 + [b"grob"]
+    assert sorted(X.telling_words(bad, plain)) == [b"grobnitz", b"grobnitzer", b"grobnitzes"]
+    assert X.telling_words(bad, [*plain, *bad]) == [] and X.telling_words([b""], plain) == []
 
 
 def test_ordinary_windows_come_from_whole_texts():

@@ -1,19 +1,26 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Two dictionaries share a body of ordinary text; the toxic one also holds the
-vocabulary that labelled toxic text has and ordinary text lacks. A text is cut
-into windows of one word each, set between two fixed stretches of ordinary text
+Both dictionaries hold windows of ordinary text, taken by hash over whole texts.
+The toxic one also holds the segments of labelled toxic text that cover its
+telling d-mers: runs of ``D`` bytes, marks of word beginnings included, that many
+toxic words have and that are ``TIMES`` times rarer among ordinary ones, as in
+dictionary training by coverage. A text is cut into windows of one word. A window
+is compressed whole under both dictionaries, between stretches of ordinary text
 (the compressor finds no match in the last bytes of a block, and stores very
-short ones raw). A window's gain is its length under the ordinary dictionary
-minus its length under the toxic one. The histogram of gains of a whole text,
-as counts and as shares, goes through a calibrated logistic curve.
+short ones raw); its gain is what the toxic dictionary saves, summed over
+``CONTEXTS`` pairs of stretches, those that tell the two kinds of training words
+apart best. Ordinary words that gain go into both dictionaries.
+
+For each of ``LEVELS`` a text has a rate: how many of its windows gain as much,
+against how many would among as many windows of ordinary text, both with a prior
+count. Rates, not counts or lengths, go through a calibrated logistic curve.
 
 Fitting uses a bounded sample of labelled rows: about ``SAMPLE`` texts of each
-class by hash, read whole. Three quarters build the dictionaries, the body from
-windows by hash over all their ordinary texts, the rest calibrates; the intercept is moved from the sample's shares to those of
-all labels. Only rows outside the held-out fold are used. Scoring covers every
-window of every text in one pass without shuffle; gains are remembered for
-``MEMO`` words at a time.
+class by hash, read whole. Three quarters build the dictionaries; the rest, which
+they never saw, sets the expected shares and the curve; the intercept is moved
+from the sample's shares to those of all labels. Only rows outside the held-out
+fold are used. Scoring covers every window of every text in one pass without
+shuffle; gains are remembered for ``MEMO`` words at a time.
 
 Defined results: null text scores as empty text; empty texts have the score of
 a text without windows; without usable labels of both classes every score is the
@@ -23,6 +30,7 @@ table gives no rows; other columns are ignored.
 """
 
 from collections import Counter
+from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,42 +42,72 @@ from .catalogue import query
 from .common import byte_texts, pieces, read
 from .words import FOLD, mixed
 
-SAMPLE, BODY, MEMO = 3000, 400 << 10, 500_000
-#: A stem is a beginning of words, this long; toxic when in so large a share of toxic texts, so many times as often as in ordinary ones.
-STEM, SHARE, TIMES = range(4, 12), 0.01, 12
-PIECE, GAINS, THRESHOLD = 48, 9, 0.3
-#: A word is tried from its beginning at these lengths, then whole, as long as the shorter one gains; its gain is the largest.
-HEADS = (9, 7, 5)
+SAMPLE, BODY, MEMO = 3000, 300 << 10, 300_000
+#: A d-mer is telling when so large a share of toxic texts would have it in one word each, and so many times as often as ordinary ones.
+D, SHARE, TIMES = 8, 0.02, 12
+PIECE, THRESHOLD = 48, 0.3
+#: Gains of which rates are taken, and the prior count of a rate.
+LEVELS, PRIOR = (1, 2, 3, 4, 5, 6, 8, 10, 13), 0.5
+#: Pairs of stretches that are tried, and used; bytes of a stretch; gain of an ordinary word that goes into both dictionaries; how often that is done.
+TRIED, CONTEXTS, STRETCH, NEAR, ROUNDS = 32, 2, 24, 3, 2
 #: Stands before every word, in dictionaries and windows: a match that starts with a word is worth more than one inside it.
 MARK = b"\x01\x02\x03"
 
 
 def windows(text: bytes) -> list[bytes]:
-    """Words of a text (A-Z lower-cased), long ones in pieces."""
+    """Words of a text (A-Z lower-cased), long ones in pieces that end between characters."""
     words = text.translate(FOLD).split()
     if len(text) > PIECE and max(map(len, words), default=0) > PIECE:
-        words = [w[i:i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+        return [p for w in words for p in parts(w)]
     return words
 
 
-def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> set:
-    """Beginnings of words that many toxic texts have, and ordinary ones seldom.
-
-    Counted one length after another: a longer stem is common only where the
-    shorter one is, so few are ever held.
-    """
-    least, per = max(3, SHARE * len(toxic)), len(toxic) / len(ordinary)
-    common, good = None, set()
-    for k in STEM:
-        count = Counter()
-        for t in toxic:
-            count.update({w[:k] for w in windows(t) if len(w) >= k and (common is None or w[:k - 1] in common)})
-        common = {s for s, n in count.items() if n >= least}
-        other = Counter()
-        for t in ordinary:
-            other.update({w[:k] for w in windows(t) if w[:k] in common})
-        good |= {s for s in common if count[s] >= TIMES * (other[s] * per + 0.5)}
-    return good
+def parts(word: bytes) -> list[bytes]:
+    out = []
+    while len(word) > PIECE:
+        cut = next((k for k in range(PIECE, PIECE - 4, -1) if word[k] & 0xC0 != 0x80), PIECE)
+        out.append(word[:cut])
+        word = word[cut:]
+    return [*out, word]
+
+
+def words_of_texts(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words, and how many texts have each."""
+    counts = Counter()
+    for t in texts:
+        counts.update(set(windows(t)))
+    return list(counts), np.array(list(counts.values()), dtype=np.int64)
+
+
+def d_mers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All D-byte runs of the words between their marks, as numbers, and the word that each comes from."""
+    n = np.array([len(w) for w in words], dtype=np.int64) + 2 * len(MARK)
+    raw = np.frombuffer(b"".join([MARK + w + MARK for w in words]) + bytes(D), dtype=np.uint8)
+    value = np.zeros(len(raw) - D, np.uint64)
+    for k in range(D):
+        value |= raw[k:len(raw) - D + k].astype(np.uint64) << np.uint64(8 * k)
+    owner = np.repeat(np.arange(len(words)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + D <= n[owner]
+    return value[inside], owner[inside]
+
+
+def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Words of toxic texts that hold a telling d-mer, the most frequent last."""
+    words, n = words_of_texts(toxic)
+    if not words:
+        return []
+    value, owner = d_mers(words)
+    values, at = np.unique(value, return_inverse=True)
+    have, others = np.bincount(at, n[owner]), np.zeros(len(values))
+    plain, m = words_of_texts(ordinary)
+    for a in range(0, len(plain), 1 << 17):  # so many words at a time
+        value, own = d_mers(plain[a:a + (1 << 17)])
+        place = np.minimum(np.searchsorted(values, value), len(values) - 1)
+        hit = values[place] == value
+        others += np.bincount(place[hit], m[a + own[hit]], minlength=len(values))
+    good = (have >= max(3, SHARE * len(toxic))) & (have >= TIMES * (others * len(toxic) / len(ordinary) + 0.5))
+    some = np.unique(owner[good[at]])
+    return [words[i] for i in some[np.argsort(n[some], kind="stable")]]
 
 
 def sampled_windows(texts: list[bytes], limit: int) -> list[bytes]:
@@ -90,29 +128,40 @@ def joined(words) -> bytes:
 
 
 class Model:
-    """Dictionaries and curve; plain bytes and numbers, so that it travels to tasks."""
+    """Dictionaries, stretches and curve; plain bytes and numbers, so that it travels to tasks."""
 
-    def __init__(self, body: bytes, vocabulary: bytes):
+    def __init__(self, body: list[bytes], vocabulary: list[bytes]):
         self.body, self.vocabulary = body, vocabulary
-        self.mean = self.scale = self.weights = None
+        self.mean = self.scale = self.weights = self.expected = None
+        self.contexts = self.stretches(1)
         self._open()
 
+    def stretches(self, n: int) -> list[tuple[bytes, bytes]]:
+        """Pairs of stretches of the body from ``n`` places."""
+        def at(k):
+            out = b""
+            for w in islice(cycle(self.body), k, k + STRETCH):
+                out += MARK + w
+                if len(out) >= STRETCH:
+                    break
+            return out
+        size = len(self.body)
+        return [(at(size * k // (n + 1)), at((size * k // (n + 1) + size // 2) % size)) for k in range(1, n + 1)] if size else [(b"", b"")]
+
     def _open(self):
-        half = len(self.body) // 2
-        self.before, self.after = self.body[half:half + 24] + MARK, MARK + self.body[half + 100:half + 124]
-        end = self.body[half + 200:half + 264]  # the last bytes of a dictionary are not searched
-        self.ordinary, self.toxic, self.memo = self._compressor(self.body + end), self._compressor(self.body + self.vocabulary + end), {}
+        end = joined(self.body[len(self.body) // 3:][:8])  # the last bytes of a dictionary are not searched
+        self.ordinary, self.toxic, self.memo = self._compressor(joined(self.body) + end), self._compressor(joined(self.body) + joined(self.vocabulary) + end), {}
 
     @staticmethod
     def _compressor(content: bytes):
         how = zstandard.ZstdCompressionParameters(
-            window_log=20, chain_log=21, hash_log=18, search_log=12, min_match=3, target_length=128, strategy=zstandard.STRATEGY_BTULTRA,
+            window_log=20, chain_log=18, hash_log=17, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2,
             write_content_size=False, write_checksum=False, write_dict_id=False)
         return zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(
             content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
     def __getstate__(self):
-        return {k: v for k, v in vars(self).items() if k not in ("ordinary", "toxic", "memo", "before", "after")}
+        return {k: v for k, v in vars(self).items() if k not in ("ordinary", "toxic", "memo")}
 
     def __setstate__(self, state):
         vars(self).update(state)
@@ -123,54 +172,75 @@ class Model:
         if g is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            head = next((k for k in HEADS if k < len(word)), 0)
-            g = self.gain(word[:head]) if head else 0
-            g = self.memo[word] = max(g, self._gain(word)) if g or not head else 0
+            g = 0
+            for before, after in self.contexts:
+                window = before + MARK + word + after
+                g += len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
+            g = self.memo[word] = max(0, min(LEVELS[-1], g))
         return g
 
-    def _gain(self, word: bytes) -> int:
-        window = self.before + word + self.after
-        return min(GAINS, len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))
-
-    def histogram(self, text: bytes) -> np.ndarray:
-        counts = Counter(map(self.gain, windows(text)))
-        c = np.log1p([counts[g] for g in range(1, GAINS + 1)])
-        n = np.log1p(sum(counts.values()))
-        return np.concatenate((c, [n], c - n))
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, prior: float) -> None:
-        """Logistic regression with a small ridge, by Newton steps; then the wanted prior."""
+    def settle(self, ordinary: list[bytes]) -> None:
+        """Take the stretches between which vocabulary gains often and ordinary words seldom."""
+        words, n = words_of_texts(ordinary)
+        if not words or not self.vocabulary:
+            return
+        order = np.argsort(-n, kind="stable")
+        often, seldom = order[:400], order[400:][::max(1, (len(order) - 400) // 400)]
+        share = np.concatenate((n[often], np.full(len(seldom), (n.sum() - n[often].sum()) / max(1, len(seldom)))))
+        plain, telling = [words[i] for i in (*often, *seldom)], self.vocabulary[::max(1, len(self.vocabulary) // 300)]
+        found = []
+        for context in self.stretches(TRIED):
+            self.contexts, self.memo = [context], {}
+            reach = lambda some, w: np.bincount([self.gain(x) for x in some], w, LEVELS[-1] + 1)[::-1].cumsum()[::-1][1:] / w.sum()
+            a, b = reach(telling, np.ones(len(telling))), reach(plain, share)
+            found.append((max(a * np.log((a + 1e-3) / (b + 1e-4))), context))
+        found.sort(key=lambda x: -x[0])
+        self.contexts, self.memo = [c for _, c in found[:CONTEXTS]], {}
+
+    def reached(self, text: bytes) -> np.ndarray:
+        """Number of windows, and of those that gain at least each of LEVELS."""
+        counts = np.bincount([self.gain(w) for w in windows(text)], minlength=LEVELS[-1] + 1)
+        return counts[::-1].cumsum()[::-1][[0, *LEVELS]]
+
+    def rates(self, reached: np.ndarray) -> np.ndarray:
+        return np.log((reached[:, 1:] + PRIOR) / (reached[:, :1] * self.expected + PRIOR))
+
+    def calibrate(self, toxic: list[bytes], ordinary: list[bytes], prior: float) -> None:
+        """Expected shares from ordinary texts; logistic regression with a small ridge, by Newton steps; then the wanted prior."""
+        bad, plain = (np.array([self.reached(t) for t in texts]) for texts in (toxic, ordinary))
+        total = plain.sum(axis=0)
+        self.expected = (total[1:] + 1) / (total[0] + 1)
+        x, y = self.rates(np.concatenate((bad, plain))), np.r_[np.ones(len(bad)), np.zeros(len(plain))]
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         w = np.zeros(z.shape[1])
-        for _ in range(40):
+        for _ in range(60):
             p = 1 / (1 + np.exp(-z @ w))
             w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)), z.T @ (y - p) - w)
         w[-1] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
         self.weights = w
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
+        x = self.rates(np.array([self.reached(t) for t in texts]))
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.weights, -50, 50)))
 
 
 def train(toxic: list[bytes], ordinary: list[bytes], prior: float) -> Model | None:
-    """Model from two lists of texts; None when they are too few or do not differ in vocabulary."""
+    """Model from two lists of texts; None when there are too few."""
     (tox_a, tox_b), (ord_a, ord_b) = (([x for i, x in enumerate(t) if i % 4], t[::4]) for t in (toxic, ordinary))
     if not (tox_a and ord_a):
         return None
-    good, words = telling_stems(tox_a, ordinary), Counter()
-    for t in tox_a:
-        words.update(w for w in windows(t) if any(w[:k] in good for k in STEM if k <= len(w)))
-    common = {w for t in ordinary for w in windows(t) if w in words}
-    chosen = [w for w, _ in reversed(words.most_common()) if w not in common]
-    body = joined(sampled_windows(ord_a, BODY))
-    model = Model(body, joined(chosen))
+    model = Model(sampled_windows(ord_a, BODY), telling_words(tox_a, ord_a))
+    model.settle(ord_a)
+    plain = sorted(set(words_of_texts(ord_a)[0]))
     # Ordinary words that share much with the toxic vocabulary belong to the ordinary text of both.
-    for _ in range(2):
-        near = {w for t in ord_a for w in windows(t) if model.gain(w) >= 2}
-        model = Model(model.body + joined(sorted(near)), model.vocabulary)
-    x = np.array([model.histogram(t) for t in (*tox_b, *ord_b)])
-    model.calibrate(x, np.r_[np.ones(len(tox_b)), np.zeros(len(ord_b))], prior)
+    for _ in range(ROUNDS):
+        near = [w for w in plain if model.gain(w) >= NEAR]
+        model = Model(model.body + near, model.vocabulary)
+        model.settle(ord_a)
+    model.calibrate(tox_b, ord_b, prior)
     model.memo.clear()
     return model
 
@@ -193,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
 
 
 def scores(model: Model | None, prior: float, texts: list[bytes]) -> np.ndarray:
-    return model.score(np.array([model.histogram(t) for t in texts])) if model else np.full(len(texts), prior)
+    return model.score(texts) if model else np.full(len(texts), prior)
 
 
 def _scored(model: Model | None, prior: float):
