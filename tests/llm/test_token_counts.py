@@ -36,6 +36,18 @@ def test_trie_against_plain_recurrence(monkeypatch):
         assert [counter[w] for w in words] == [plain(w, SCORES) for w in words]
 
 
+def test_ties_do_not_depend_on_the_limits(monkeypatch):
+    scores = {"a": -1.0, "aa": -2.0, "aaa": -3.0, C.MARK: -0.1, "ab": -2.5, "b": -1.5, "ba": -2.5}
+    words = ["a" * k for k in range(1, 200, 7)] + ["ab" * k for k in range(1, 90, 7)] + ["aab" * 50]
+    made = []
+    for nodes, long in ((300_000, 1000), (300_000, 4), (5, 1000), (10, 64)):
+        monkeypatch.setattr(C, "NODES", nodes)
+        monkeypatch.setattr(C, "LONG", long)
+        counter = C.Counter(scores)
+        made.append([counter[w] for w in words])
+    assert made[0] == [plain(w, scores) for w in words] and all(m == made[0] for m in made)
+
+
 def test_against_a_unigram_tokenizer():
     vocabulary = [("<unk>", -1000.0), *SCORES.items()]
     model = Tokenizer(Unigram(vocabulary, 0))

@@ -33,10 +33,11 @@ from .catalogue import query
 from .common import pieces, read
 
 MARK = "▁"
-NODES, LONG = 300_000, 64
+NODES, LONG = 600_000, 64
 PRE_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Score of one byte of a character that is no piece; below that of any piece.
 BYTE_SCORE = -30.0
+ABSENT = object()
 
 
 def load_vocabulary(path: str | None = None) -> dict[str, float]:
@@ -53,78 +54,89 @@ def load_vocabulary(path: str | None = None) -> dict[str, float]:
     return {name: -math.log(rank + 2.7) - norm for rank, name in enumerate(names)}
 
 
+def endings(scores: dict[str, float]) -> dict[str, float | None]:
+    """Every ending of a piece: with its score if it is a piece itself, else None."""
+    out: dict = {}
+    for piece in scores:
+        for k in range(1, len(piece)):
+            out.setdefault(piece[k:], None)
+        out[piece] = scores[piece]
+    return out
+
+
 class Counter(dict):
     """Tokens by pre-token, filled on demand from the trie."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=0)
+        self.table, self.longest = endings(scores), max(map(len, scores), default=0)
         self.start()
 
     def start(self):
         self.clear()
-        #: Of each node: children, best forward score, tokens of that path, parent, last character.
-        self.children, self.best, self.tokens, self.parent, self.last = [{}], [0.0], [0], [-1], [""]
-
-    def grow(self, node: int, c: str) -> int:
-        """New child of a node: its best last piece, tried from the shortest to the longest."""
-        own = self.scores.get(c)
-        if own is None:
-            n = len(c.encode("utf-8", "surrogatepass"))
-            best, tokens = self.best[node] + n * BYTE_SCORE, self.tokens[node] + n
-        else:
-            best, tokens = self.best[node] + own, self.tokens[node] + 1
-        piece, up = c, node
-        for _ in range(self.longest - 1):
-            if up == 0:
-                break
-            piece = self.last[up] + piece
-            up = self.parent[up]
-            s = self.scores.get(piece)
-            if s is not None:
-                s += self.best[up]
-                if s > best or s == best and self.tokens[up] + 1 < tokens:
-                    best, tokens = s, self.tokens[up] + 1
-        child = len(self.best)
-        self.children.append({})
-        self.best.append(best)
-        self.tokens.append(tokens)
-        self.parent.append(node)
-        self.last.append(c)
-        self.children[node][c] = child
-        return child
+        #: Children by node and character; of each node the best forward score and the tokens of that path.
+        self.down, self.best, self.tokens = {}, [0.0], [0]
 
     def __missing__(self, word: str) -> int:
         marked = MARK + word
         if len(marked) > LONG:
-            return rolled(marked, self.scores, self.longest)
+            return rolled(marked, self.table, self.longest)
         if len(self.best) > NODES:
             self.start()
-        node = 0
-        for c in marked:
-            down = self.children[node].get(c)
-            node = self.grow(node, c) if down is None else down
-        self[word] = self.tokens[node]
-        return self.tokens[node]
-
-
-def rolled(marked: str, scores: dict[str, float], longest: int) -> int:
-    """The same recurrence over one text, keeping the last ``longest`` positions."""
-    best, tokens = [0.0], [0]
-    for i, c in enumerate(marked):
-        own = scores.get(c)
-        n = 1 if own is not None else len(c.encode("utf-8", "surrogatepass"))
-        top, count = best[-1] + (own if own is not None else n * BYTE_SCORE), tokens[-1] + n
-        for k in range(2, min(longest, i + 1) + 1):
-            s = scores.get(marked[i + 1 - k:i + 1])
-            if s is not None:
-                s += best[-k]
-                if s > top or s == top and tokens[-k] + 1 < count:
-                    top, count = s, tokens[-k] + 1
+        down, best, tokens, table = self.down, self.best, self.tokens, self.table
+        node, path = 0, [0]
+        for c in marked:  # the prefix that the trie has
+            node = down.get(node * 0x110000 + ord(c))
+            if node is None:
+                break
+            path.append(node)
+        for i in range(len(path) - 1, len(marked)):  # below a new node all are new
+            node = len(best)
+            down[path[i] * 0x110000 + ord(marked[i])] = node
+            top, count = step(marked, i, table, best, tokens, path)
+            best.append(top)
+            tokens.append(count)
+            path.append(node)
+        self[word] = count = tokens[path[-1]]
+        return count
+
+
+def step(marked: str, i: int, table: dict, best: list, tokens: list, at: list) -> tuple[float, int]:
+    """Best score of marked[:i + 1] and its tokens, over all last pieces from the shortest to the longest.
+
+    ``at[j]`` is where the lists have marked[:j]. What is no ending of a piece
+    ends the search, as nothing longer can be a piece.
+    """
+    up, end = at[i], i + 1
+    s = table.get(marked[i])
+    if s is None:
+        n = len(marked[i].encode("utf-8", "surrogatepass"))
+        top, count = best[up] + n * BYTE_SCORE, tokens[up] + n
+    else:
+        top, count = best[up] + s, tokens[up] + 1
+    while i:
+        i -= 1
+        s = table.get(marked[i:end], ABSENT)
+        if s is None:
+            continue
+        if s is ABSENT:
+            break
+        up = at[i]
+        s += best[up]
+        if s > top or s == top and tokens[up] + 1 < count:
+            top, count = s, tokens[up] + 1
+    return top, count
+
+
+def rolled(marked: str, table: dict, longest: int) -> int:
+    """The same recurrence over one text, keeping the last ``longest`` positions and more."""
+    best, tokens, start = [0.0], [0], 0
+    for i in range(len(marked)):
+        if len(best) > 4 * longest:
+            start = i - longest
+            best, tokens = best[-longest - 1:], tokens[-longest - 1:]
+        top, count = step(marked[start:i + 1], i - start, table, best, tokens, range(len(best)))
         best.append(top)
         tokens.append(count)
-        if len(best) > 4 * longest:
-            shift = best[-longest]
-            best, tokens = [b - shift for b in best[-longest:]], tokens[-longest:]
     return tokens[-1]
 
 

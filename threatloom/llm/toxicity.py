@@ -44,7 +44,7 @@ from .words import FOLD, mixed
 
 SAMPLE, BODY, MEMO = 3000, 300 << 10, 300_000
 #: A d-mer is telling when so large a share of toxic texts would have it in one word each, and so many times as often as ordinary ones.
-D, SHARE, TIMES = 8, 0.02, 12
+D, SHARE, TIMES = 8, 0.02, 8
 PIECE, THRESHOLD = 48, 0.3
 #: Gains of which rates are taken, and the prior count of a rate.
 LEVELS, PRIOR = (1, 2, 3, 4, 5, 6, 8, 10, 13), 0.5
