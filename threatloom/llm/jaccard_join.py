@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from .catalogue import query
 from .common import BROADCAST_IDS, byte_texts, checkpointed, membership, pieces, read
-from .embedding_dedup import Links, few_rows_a_batch
+from .embedding_dedup import Links
 from .words import FOLD_SPACE, mixed, shingles
 
 SHINGLE, SIMILARITY = 5, (75, 100)
@@ -54,6 +54,8 @@ FIRST = 3
 FREQUENT = 16
 #: Most sets and shingles of a tile of step 4, about.
 TILE, TILE_SHINGLES = 256, 150_000
+#: Tiles of a family that are sent together, about.
+SHELF = 8
 
 
 def least(n, p: int, q: int):
@@ -218,59 +220,78 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
     return checkpointed(packed), checkpointed(pairs)
 
 
-def overlaps(x: list, y: list) -> np.ndarray:
+class Tile:
+    """Sets of one tile: their ids, sizes, and all shingles with the sets that they are from, sorted by shingle."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.ids = rows.field("id").to_numpy()
+        hashes = rows.field("hashes")
+        self.sizes = pa.compute.list_value_length(hashes).to_numpy().astype(np.int64)
+        flat = hashes.flatten().to_numpy().view(np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.ids)), self.sizes)[order]
+
+    def part(self, values: np.ndarray) -> np.ndarray:
+        """One row a set, one column a shingle of ``values``: 1 where the set has it."""
+        low, high = np.searchsorted(self.flat, values[[0, -1]], "left")[0], np.searchsorted(self.flat, values[-1], "right")
+        at = np.searchsorted(values, self.flat[low:high])
+        hit = values[at] == self.flat[low:high]
+        m = np.zeros((len(self.ids), len(values)), np.float32)
+        m[self.owner[low:high][hit], at[hit]] = 1
+        return m
+
+
+def overlaps(x: Tile, y: Tile) -> np.ndarray:
     """Common shingles of every set of x with every set of y: counted by fragment of the order, and summed."""
-    total = np.zeros((len(x), len(y)), np.int64)
-    flat = [np.concatenate([np.zeros(0, np.uint64), *side]) for side in (x, y)]
-    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
-    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-    for part in np.array_split(both, max(1, len(both) // 4096)):
-        sides = []
-        for values, own, n in zip(flat, owner, (len(x), len(y))):
-            at = np.searchsorted(part, values)
-            hit = at < len(part)
-            hit[hit] = part[at[hit]] == values[hit]
-            m = np.zeros((n, len(part)), np.float32)
-            m[own[hit], at[hit]] = 1
-            sides.append(m)
-        total += (sides[0] @ sides[1].T).astype(np.int64)
+    total = np.zeros((len(x.ids), len(y.ids)), np.int64)
+    both = np.intersect1d(x.flat, y.flat)
+    for k in range(0, len(both), 4096):
+        part = both[k:k + 4096]
+        total += (x.part(part) @ y.part(part).T).astype(np.int64)
     return total
 
 
-def _linked_tiles(p, q):
-    def sets_of(column, i):
-        rows = column[i].values
-        ids, hashes = rows.field("id").to_numpy(), rows.field("hashes")
-        return ids, [h.values.to_numpy().view(np.uint64) for h in hashes]
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
-                more, y = sets_of(batch.column("rows_b"), i)
-                ids, x = (more, y) if same else sets_of(batch.column("rows_a"), i)
-                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-                a, b = np.nonzero(overlaps(x, y) * (p + q) >= sizes * p)
-                if same:
-                    a, b = a[a < b], b[a < b]
-                links = Links(len(ids) + (0 if same else len(more)))
-                links.add(a, b if same else b + len(ids))
-                every = ids if same else np.concatenate((ids, more))
-                u, v = links.all_edges()
-                yield pa.RecordBatch.from_arrays([pa.array(every[u]), pa.array(every[v])], ["a", "b"])
+def _linked_shelves(p, q):
+    def run(tiles: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {}
+        for name, rows in zip(tiles.column("tile").to_pylist(), tiles.column("rows")):
+            held[name] = Tile(rows.values)
+        first = dict(zip(held, np.cumsum([0, *(len(t.ids) for t in held.values())]).tolist()))
+        every = np.concatenate([t.ids for t in held.values()])
+        links = Links(len(every))
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = held[a], held[b]
+            i, j = np.nonzero(overlaps(x, y) * (p + q) >= (x.sizes[:, None] + y.sizes[None, :]) * p)
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                links.add(i + first[a], j + first[b])
+        u, v = links.all_edges()
+        return pa.table({"a": pa.array(every[u], pa.int64()), "b": pa.array(every[v], pa.int64())})
     return run
 
 
 def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): links between sets of different components, as a spanning forest of each tile and each pair of tiles."""
+    """(a, b): links between sets of different components, as a spanning forest of each pair of shelves.
+
+    About ``SHELF`` tiles of a family stand on a shelf. A task gets two shelves
+    and compares the pairs of their tiles, so that a tile is sent once a shelf
+    that it meets, not once a tile.
+    """
     packed, pairs = tiled(sets, parts, p, q)
-    rows = packed.select(F.col("tile").alias("b"), F.col("rows").alias("rows_b"))
-    alone = rows.join(pairs.where("a = b"), "b").withColumn("rows_a", F.lit(None).cast(rows.schema["rows_b"].dataType))
+    family = F.substring_index("tile", "|", 1)
+    named = packed.select("tile", family.alias("family"))
+    shelves = checkpointed(named.join(named.groupBy("family").agg(F.ceil(F.count("*") / F.lit(SHELF)).alias("n")), "family").select(
+        "tile", F.concat_ws("|", "family", F.pmod(F.xxhash64("tile"), F.col("n"))).alias("shelf")))
+    of_a, of_b = (shelves.select(F.col("tile").alias(s), F.col("shelf").alias(f"shelf_{s}")) for s in "ab")
+    wanted = checkpointed(pairs.join(of_a, "a").join(of_b, "b").select(
+        "a", "b", F.concat_ws("#", F.least("shelf_a", "shelf_b"), F.greatest("shelf_a", "shelf_b")).alias("key")))
+    sent = wanted.select("key", F.explode(F.array("a", "b")).alias("tile")).distinct()
     # Sizes of tables are only estimated; packed tiles must not be broadcast on an estimate.
-    both = (pairs.where("a <> b").join(packed.select(F.col("tile").alias("a"), F.col("rows").alias("rows_a")).hint("merge"), "a")
-            .join(rows.hint("merge"), "b")).unionByName(alone)
-    with few_rows_a_batch(sets.sparkSession):
-        return checkpointed(both.mapInArrow(_linked_tiles(p, q), "a bigint, b bigint"))
+    rows = packed.hint("merge").join(sent, "tile").select("key", "tile", "rows")
+    compared = wanted.select(F.col("key").alias("meeting"), "a", "b").groupBy("meeting")
+    found = rows.groupBy("key").cogroup(compared).applyInArrow(_linked_shelves(p, q), "a bigint, b bigint")
+    return checkpointed(found)
 
 
 def linked(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) -> DataFrame:
