@@ -17,21 +17,23 @@ def gram_vectors(texts: DataFrame, max_chars: int | None = None) -> DataFrame:
     return unit_vectors(tfidf(docs, "doc", min_df=2, by="label"), "doc", "label")
 
 
-MARGIN = 0.1
+#: Entries of a slice of a list, about.
+SLICE = 256
 
 
 def postings(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(label, term, doc, w) for the rarest terms of every vector, up to where the rest is shorter than threshold - MARGIN.
+    """(label, term, doc, w, rest): the rarest terms of every vector while what is left, the term included, is as long as the threshold.
 
-    Terms are ordered by rarity in every vector alike. Whatever two texts share
-    after the earlier of their two cuts adds less than threshold - MARGIN to
-    their cosine, so a match must collect at least MARGIN in these lists.
+    ``rest`` is the norm of the vector after the term. Terms are ordered by
+    rarity in every vector alike, so at the first term that two texts share their
+    cosine is at most w * w' + rest * rest', and a match has that term in both lists.
     """
-    rest = threshold - MARGIN
-    enough = 1 - rest * rest + 1e-9
+    enough = 1 - threshold * threshold + 1e-9
     n = (f"aggregate(v, named_struct('c', 0.0D, 'n', 0), (a, x) -> IF(a.c > {enough}D, a, "
          "named_struct('c', a.c + x.w * x.w, 'n', a.n + 1)), a -> a.n)")
-    return vectors.selectExpr("label", "doc", f"inline(transform(slice(v, 1, {n}), x -> struct(x.term AS term, x.w AS w)))")
+    left = "sqrt(greatest(0.0D, 1 - aggregate(slice(p, 1, i + 1), 0.0D, (s, y) -> s + y.w * y.w)))"
+    return vectors.selectExpr("label", "doc", f"slice(v, 1, {n}) AS p").selectExpr(
+        "label", "doc", f"inline(transform(p, (x, i) -> struct(x.term AS term, x.w AS w, {left} AS rest)))")
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -49,34 +51,39 @@ def edges(texts: DataFrame, threshold: float = D.NEAR_DUPLICATE_SIMILARITY, max_
 
     First every list offers pairs of its smallest member with each other
     member, which joins a family of copies at linear cost. Then lists that
-    still hold several components offer pairs across components, leaving out
-    the inside of the largest one. Pairs inside a component are never needed
-    and never made; offered pairs that cannot reach the threshold are dropped
-    by their collected weight before any vector is read.
+    still hold several components offer pairs across components. Pairs inside a
+    component are never needed and never made; a pair that cannot reach the
+    threshold by its weights and rests is left out inside the list.
     """
     vectors = checkpointed(gram_vectors(texts, max_chars))
     lists = checkpointed(postings(vectors, threshold))
-    heads = checkpointed(lists.groupBy("label", "term").agg(F.min_by(F.struct("doc", "w"), "doc").alias("h"), F.count("*").alias("n"))
-                         .where("n > 1").selectExpr("label", "term", "h.doc AS a", "h.w AS wa"))
-    star = lists.join(heads, ["label", "term"]).where("doc <> a").selectExpr("label", "a", "doc AS b", "wa * w AS p")
-    first = checkpointed(verified(promising(star), vectors, threshold))
+    heads = checkpointed(lists.groupBy("label", "term").agg(F.min_by(F.struct("doc", "w", "rest"), "doc").alias("h"), F.count("*").alias("n"))
+                         .where("n > 1").selectExpr("label", "term", "n", "h.doc AS a", "h.w AS wa", "h.rest AS ra"))
+    star = lists.join(heads, ["label", "term"]).where(f"doc <> a AND wa * w + ra * rest >= {threshold}D - 1e-9").selectExpr("label", "a", "doc AS b")
+    first = checkpointed(verified(star.distinct(), vectors, threshold))
     roots = components(first.select("a", "b"))
-    placed = lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").selectExpr(
-        "label", "term", "doc", "w", "coalesce(root, doc) AS comp")
-    per = placed.groupBy("label", "term", "comp").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("label", "term").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where(
-        "comps > 1")
-    open_ = checkpointed(placed.join(mixed.select("label", "term", "main"), ["label", "term"]))
-    rest = open_.where("comp <> main").selectExpr("label", "term", "doc AS x", "w AS wx", "comp AS cx", "main")
-    other = open_.selectExpr("label", "term", "doc AS y", "w AS wy", "comp AS cy")
-    cross = rest.join(other, ["label", "term"]).where("cx <> cy AND (cy = main OR x < y)").selectExpr(
-        "label", "least(x, y) AS a", "greatest(x, y) AS b", "wx * wy AS p")
-    return first.unionByName(verified(promising(cross), vectors, threshold))
-
-
-def promising(offers: DataFrame) -> DataFrame:
-    """Pairs whose shared list weight leaves the threshold in reach."""
-    return offers.groupBy("label", "a", "b").agg(F.sum("p").alias("p")).where(F.col("p") >= MARGIN - 1e-9).select("label", "a", "b")
+    placed = lists.join(heads.select("label", "term", "n"), ["label", "term"]).join(
+        roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc"))
+    return first.unionByName(verified(across(placed, threshold).distinct(), vectors, threshold))
+
+
+def across(placed: DataFrame, threshold: float) -> DataFrame:
+    """(label, a, b): pairs of placed(label, term, n, doc, w, rest, comp) of one list and two components that can reach the threshold.
+
+    A list is cut into slices of about SLICE entries by hash, and a row holds two
+    slices; what does not fit together is sorted out inside the row.
+    """
+    entry = F.struct("doc", "w", "rest", "comp")
+    cut = placed.withColumn("slice", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / F.lit(SLICE)))).groupBy("label", "term", "slice").agg(
+        F.collect_list(entry).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    spread = cut.groupBy("label", "term").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("label", "term")
+    slices = checkpointed(cut.join(spread, ["label", "term"]))
+    x = slices.selectExpr("label", "term", "slice AS sx", "e AS ex", "low AS lx", "high AS hx")
+    y = slices.selectExpr("label", "term", "slice AS sy", "e AS ey", "low AS ly", "high AS hy")
+    pairs = x.join(y, ["label", "term"]).where("sx <= sy AND NOT (lx = hx AND ly = hy AND lx = ly)")
+    fits = f"i.comp <> j.comp AND (sx < sy OR i.doc < j.doc) AND i.w * j.w + i.rest * j.rest >= {threshold}D - 1e-9"
+    made = f"transform(ex, i -> transform(filter(ey, j -> {fits}), j -> struct(least(i.doc, j.doc) AS a, greatest(i.doc, j.doc) AS b)))"
+    return pairs.selectExpr("label", f"inline(flatten({made}))")
 
 
 def groups(texts: DataFrame, threshold: float = D.NEAR_DUPLICATE_SIMILARITY, max_chars: int | None = None) -> DataFrame:

@@ -112,6 +112,19 @@ def cor5(spark, d):
     return near_duplicates.edges(kept_texts(spark, d)).selectExpr("label", "a", "b", "round(cosine, 6) AS cosine")
 
 
+@query("cor5_edge_check", GROUPS + """
+SELECT label, count(*)::BIGINT AS linked, count(DISTINCT grp)::BIGINT AS joined, 0::BIGINT AS below FROM (
+  SELECT label, grp, count(*) OVER (PARTITION BY label, grp) AS n FROM groups) WHERE n > 1 GROUP BY label""")
+def cor5_check(spark, d):
+    """What the edges must hold: ends and components of each label as in the groups, and no cosine below the threshold."""
+    e = near_duplicates.edges(kept_texts(spark, d))
+    e = e.select("label", "a", "b", "cosine")
+    ends = e.selectExpr("label", "explode(array(a, b)) AS node").distinct().join(components(e.select("a", "b")), "node").groupBy("label").agg(
+        F.count("*").alias("linked"), F.countDistinct("root").alias("joined"))
+    low = e.groupBy("label").agg(F.count_if(F.col("cosine") < D.NEAR_DUPLICATE_SIMILARITY - 1e-6).alias("below"))
+    return ends.join(low, "label")
+
+
 @query("cor6_components", GROUPS + "SELECT doc, label, grp AS \"group\" FROM groups")
 def cor6(spark, d):
     return groups(spark, d).select("doc", "label", "group")
@@ -190,12 +203,12 @@ def snk2(spark, d):
 
 
 @query("src2_split_read", SPLITS + """
-SELECT sha256(f.text)[1:16] AS id, CASE WHEN f.label = 'phishing' THEN 1 ELSE 0 END::BIGINT AS y, length(f.text)::BIGINT AS chars, 'g'||g.grp AS "group"
-FROM groups g JOIN firsts f USING (doc) JOIN splits s ON s.grp = g.grp WHERE s.split = 'train'""")
+SELECT sha256(f.text)[1:16] AS id, CASE WHEN f.label = 'phishing' THEN 1 ELSE 0 END::BIGINT AS y, length(f.text)::BIGINT AS chars, 'g'||g.grp AS "group", s.split
+FROM groups g JOIN firsts f USING (doc) JOIN splits s ON s.grp = g.grp""")
 def src2(spark, d):
     from ..sources.mail import split_jsonl
     prepared(spark, d).drop("doc").write.mode("overwrite").partitionBy("split").json(split_path(spark, d))
-    return split_jsonl(spark, split_path(spark, d)).where("split = 'train'").selectExpr("id", "y", "length(text) AS chars", "`group`")
+    return split_jsonl(spark, split_path(spark, d)).selectExpr("id", "y", "length(text) AS chars", "`group`", "split")
 
 
 @query("src3_challenge_read", """

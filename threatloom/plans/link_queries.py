@@ -119,12 +119,14 @@ def dom11(spark, d):
 # ------------------------------------------------------------------ URLs
 @query("url1_url_extract", with_("messages") + f"""
 SELECT msg_id, regexp_replace(u, '[.,;:!?)\\]}}>''"]+$', '') AS url FROM (SELECT msg_id, unnest(regexp_extract_all(body, {s(D.URL_IN_TEXT)})) AS u FROM (
-  SELECT m.msg_id, m.text||' see '||p.url||', or ('||p.url||').' AS body FROM messages m JOIN pages p ON p.page_id = m.msg_id))""")
+  SELECT m.msg_id, m.text||coalesce(' see '||p.url||', or ('||p.url||').', '') AS body FROM messages m LEFT JOIN pages p
+    ON p.page_id = m.msg_id % (SELECT max(page_id) + 1 FROM pages)))""")
 def url1(spark, d):
-    """Links in plain text; pages supply the addresses that the documents lack."""
-    pages = fx.table(spark, d, "pages").selectExpr("page_id AS msg_id", "url AS page_url")
-    body = fx.messages(spark, d).select("msg_id", "text").join(pages, "msg_id").selectExpr(
-        "msg_id", "concat(text, ' see ', page_url, ', or (', page_url, ').') AS text")
+    """Links in the plain text of every message; pages, in turn, supply the addresses that the documents lack."""
+    pages = fx.table(spark, d, "pages").selectExpr("page_id", "url AS page_url")
+    n = pages.agg((F.max("page_id") + 1).alias("n")).scalar()
+    body = fx.messages(spark, d).select("msg_id", "text").withColumn("page_id", F.col("msg_id") % n).join(pages, "page_id", "left").selectExpr(
+        "msg_id", "concat(text, coalesce(concat(' see ', page_url, ', or (', page_url, ').'), '')) AS text")
     return U.extract_from_text(body).select("msg_id", "url")
 
 
