@@ -1,6 +1,7 @@
 """Reputation feed: verdict per raw provider answer, lookups per message."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dimensions as D
@@ -50,12 +51,31 @@ def hits(wanted: DataFrame, answers: DataFrame) -> DataFrame:
     return lookup(keyed, dim, "_key", "_dkey", ["msg_id", "target"]).where("provider IS NOT NULL").drop("_key", "_dkey")
 
 
+#: Parts of the messages that arrive for one target in one interval; each gets the target's few answers.
+AS_OF_SALTS = 8
+
+
 def as_of(wanted: DataFrame, feed: DataFrame, hours: int = 1) -> DataFrame:
-    """Newest answer that is at most ``hours`` old when the message arrived."""
-    return hits(wanted, with_verdict(feed)).where(
-        f"feed_ts <= created_at AND feed_ts > created_at - INTERVAL {hours} HOURS").groupBy(
-        "msg_id", "kind", "target", "provider").agg(
-        F.max_by("verdict", "feed_ts").alias("verdict"), F.max("feed_ts").alias("feed_ts"))
+    """Newest answer that is at most ``hours`` old when the message arrived.
+
+    Messages and answers of a target are merged in time order, and the last
+    answer of every provider is carried forward. The order is cut into intervals
+    of ``hours`` and, within one, into salts; an answer goes into its own interval
+    and the next one, where alone it can still be fresh.
+    """
+    width, micros = hours * 3_600_000_000, "unix_micros({})"
+    asked = wanted.selectExpr("kind", "target", "created_at AS at", "1 AS asks", "msg_id", "CAST(NULL AS string) AS provider", "CAST(NULL AS string) AS verdict",
+                              f"{micros.format('created_at')} div {width} AS slot", f"pmod(xxhash64(msg_id), {AS_OF_SALTS}) AS salt")
+    told = with_verdict(feed).selectExpr("kind", "target", "feed_ts AS at", "0 AS asks", "CAST(NULL AS bigint) AS msg_id", "provider", "verdict",
+                                         f"explode(array({micros.format('feed_ts')} div {width}, {micros.format('feed_ts')} div {width} + 1)) AS slot")
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(AS_OF_SALTS - 1).cast("bigint"))))
+    order = W.partitionBy("kind", "target", "slot", "salt").orderBy("at", "asks", "verdict").rowsBetween(W.unboundedPreceding, W.currentRow)
+    names = [name for name, _ in D.PROVIDERS]
+    last = [F.last(F.when((F.col("asks") == 0) & (F.col("provider") == n), F.struct("provider", "verdict", F.col("at").alias("feed_ts"))), ignorenulls=True)
+            .over(order).alias(f"_{i}") for i, n in enumerate(names)]
+    merged = asked.unionByName(told).select("kind", "target", "at", "asks", "msg_id", *last).where("asks = 1")
+    answers = merged.select("msg_id", "kind", "target", "at", F.explode(F.array_compact(F.array(*[f"_{i}" for i in range(len(names))]))).alias("a"))
+    return answers.where(f"a.feed_ts > at - INTERVAL {hours} HOURS").select("msg_id", "kind", "target", "a.provider", "a.verdict", "a.feed_ts").distinct()
 
 
 def findings(found: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Detectors, scoring and the analyst's questions over stored results."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import dimensions as D
@@ -497,15 +499,24 @@ def snk1(spark, d):
         f.agg(F.lit("findings").alias("written"), F.count("*").alias("n")))
 
 
+def _sink(spark, name):
+    """A fresh folder for what one run of a sink writes."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 @query("snk4_feedback_append", with_("feedback", "messages") + """
 SELECT verdict, reviewed::BIGINT AS reviewed, count(*)::BIGINT AS n FROM (SELECT verdict, reviewed FROM feedback
   UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'uncertain' ELSE 'confirmed_phishing' END, 0 FROM orders WHERE o_orderkey IN (SELECT msg_id FROM messages))
 GROUP BY verdict, reviewed""")
 def snk4(spark, d):
-    """New feedback for order ids: only ids with a stored verdict are accepted."""
+    """New feedback for order ids, written as a batch and once more, and read back: only ids with a stored verdict are accepted."""
+    path, parents = _sink(spark, "snk4"), _v(spark, d)
     new = fx.table(spark, d, "orders").selectExpr("o_orderkey AS msg_id", "IF(o_orderkey % 2 = 0, 'uncertain', 'confirmed_phishing') AS verdict",
                                                   "1000000 + o_orderkey AS id")
-    return store.append_feedback(stored(spark, d, "feedback"), new, _v(spark, d)).groupBy("verdict", "reviewed").agg(F.count("*").alias("n"))
+    store.append_feedback(stored(spark, d, "feedback"), parents, path, "first")
+    for _ in range(2):
+        store.append_feedback(new, parents, path, "orders")
+    return store.read_feedback(spark, path).groupBy("verdict", "reviewed").agg(F.count("*").alias("n"))
 
 
 @query("snk5_delete_cascade", with_("verdicts", "findings", "feedback") + """
@@ -513,11 +524,14 @@ SELECT 'verdicts' AS tbl, count(*)::BIGINT AS n FROM verdicts WHERE classificati
 UNION ALL SELECT 'findings', count(*)::BIGINT FROM findings WHERE msg_id NOT IN (SELECT msg_id FROM verdicts WHERE classification = 'suspicious')
 UNION ALL SELECT 'feedback', count(*)::BIGINT FROM feedback WHERE msg_id NOT IN (SELECT msg_id FROM verdicts WHERE classification = 'suspicious')""")
 def snk5(spark, d):
-    v = _v(spark, d)
-    left = store.delete_cascade(v.where("classification = 'suspicious'"), v, _f(spark, d), stored(spark, d, "feedback"))
-    out = None
-    for name, t in zip(("verdicts", "findings", "feedback"), left):
-        one = t.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
+    """Suspicious messages leave three stored tables; what is left is counted from storage."""
+    path, out = _sink(spark, "snk5"), None
+    doomed = _v(spark, d).where("classification = 'suspicious'").select("msg_id")
+    for name, t, part in (("verdicts", _v(spark, d), "day"), ("findings", _f(spark, d), "day"), ("feedback", stored(spark, d, "feedback"), "slot")):
+        t = t.withColumn("slot", F.pmod("msg_id", F.lit(16))) if part == "slot" else t
+        t.write.mode("overwrite").partitionBy(part).parquet(f"{path}/{name}")
+        store.delete_cascade(doomed, f"{path}/{name}", part)
+        one = spark.read.schema(t.schema).parquet(f"{path}/{name}").agg(F.lit(name).alias("tbl"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -527,10 +541,12 @@ SELECT v.msg_id, v.risk_score::BIGINT AS score, v.classification, v.sender_addre
   (SELECT count(*) FROM link_risk l WHERE l.msg_id = v.msg_id AND l.risk_rank > 0)::BIGINT AS ioc_urls,
   (SELECT count(*) FROM file_risk f WHERE f.msg_id = v.msg_id)::BIGINT AS ioc_files FROM verdicts v""")
 def snk6(spark, d):
-    """Report documents, parsed again field by field; none is written."""
-    doc = results.reports(results.with_latest_feedback(_v(spark, d), stored(spark, d, "feedback")))
-    parsed = doc.selectExpr("msg_id", "from_json(report, 'verdict struct<riskScore: int, classification: string>, emailMetadata struct<from: string>, "
-                            "indicators array<struct<title: string>>, iocs struct<urls: array<string>, attachmentHashes: array<struct<sha256: string>>>') AS r")
-    return parsed.selectExpr("msg_id", "r.verdict.riskScore AS score", "r.verdict.classification AS classification",
-                             "r.emailMetadata.from AS sender", "size(r.indicators) AS findings", "size(r.iocs.urls) AS ioc_urls",
-                             "size(r.iocs.attachmentHashes) AS ioc_files")
+    """Report documents, written as JSON lines and read back field by field."""
+    path = _sink(spark, "snk6")
+    store.write_reports(results.reports(results.with_latest_feedback(_v(spark, d), stored(spark, d, "feedback"))), path)
+    r = store.read_reports(spark, path, "report struct<analysisId: bigint>, verdict struct<riskScore: int, classification: string>, "
+                           "emailMetadata struct<`from`: string>, indicators array<struct<title: string>>, "
+                           "iocs struct<urls: array<string>, attachmentHashes: array<struct<sha256: string>>>")
+    return r.selectExpr("report.analysisId AS msg_id", "verdict.riskScore AS score", "verdict.classification AS classification",
+                        "emailMetadata.`from` AS sender", "size(indicators) AS findings", "size(iocs.urls) AS ioc_urls",
+                        "size(iocs.attachmentHashes) AS ioc_files")

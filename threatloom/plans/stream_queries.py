@@ -45,15 +45,19 @@ def str1(spark, d):
         F.count("*").alias("n"), F.sum("finding_count").alias("findings"))
 
 
-@query("str2_ttl_lookup", with_("ti_targets", "messages") + """
-SELECT kind, target, count(DISTINCT date_trunc('hour', created_at))::BIGINT AS lookups FROM ti_targets JOIN messages USING (msg_id) GROUP BY ALL""")
+@query("str2_ttl_lookup", with_("ti_targets", "messages").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, asked AS (SELECT DISTINCT kind, target, created_at AS t FROM ti_targets JOIN messages USING (msg_id)
+  WHERE created_at < (SELECT max(created_at) FROM ti_targets JOIN messages USING (msg_id)) - INTERVAL 1 HOUR),
+looked AS (SELECT kind, target, min(t) AS t FROM asked GROUP BY kind, target
+  UNION ALL SELECT l.kind, l.target, min(a.t) FROM looked l JOIN asked a USING (kind, target) WHERE a.t >= l.t + INTERVAL 1 HOUR GROUP BY l.kind, l.target)
+SELECT kind, target, strftime(t, '%Y-%m-%d %H:%M:%S') AS asked_at FROM looked""")
 def str2(spark, d):
-    """Indicators that need a lookup: one per hour and indicator."""
+    """Lookups of indicators: the first one, and each when the last is an hour old; up to the watermark."""
     place = _place(spark)
     v = stored(spark, d, "verdicts").selectExpr("msg_id", "created_at", "sender_org AS from_org", "links", "hops")
     stream = _as_stream(spark, reputation.targets(v), place)
     jobs.to_table(jobs.lookups_within(stream, "created_at", ["kind", "target"]), f"{place}/out", f"{place}/cp")
-    return spark.read.parquet(f"{place}/out").groupBy("kind", "target").agg(F.count("*").alias("lookups"))
+    return spark.read.parquet(f"{place}/out")
 
 
 def _events(spark, d, place):

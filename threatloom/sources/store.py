@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import dimensions as D
 from ..operators.detectors import explode_findings
+from .shared import checkpointed
 
 
 def verdict_rows(investigated: DataFrame) -> DataFrame:
@@ -43,13 +44,50 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/findings")
 
 
-def append_feedback(feedback: DataFrame, new: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Feedback table with the acceptable new rows: known verdict value, parent present, not yet reviewed."""
+def append_feedback(new: DataFrame, verdicts: DataFrame, path: str, batch: str) -> None:
+    """Append the acceptable new rows as one batch: known verdict value, parent stored, not yet reviewed.
+
+    A batch owns a folder, and counts once its line in the manifest is written
+    after it. Running a batch again replaces it, so a retry adds nothing.
+    """
     ok = new.where(F.col("verdict").isin(D.FEEDBACK_VERDICTS)).join(verdicts.select("msg_id"), "msg_id", "left_semi")
-    return feedback.unionByName(ok.withColumn("reviewed", F.lit(0)), allowMissingColumns=True)
+    if "reviewed" not in ok.columns:
+        ok = ok.withColumn("reviewed", F.lit(0))
+    ok.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    written = new.sparkSession.read.parquet(f"{path}/rows/batch={batch}")
+    written.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches in the manifest, one small row a batch."""
+    known = spark.read.parquet(f"{path}/manifest").select(F.col("batch").cast("string").alias("batch")).distinct()
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/rows")
+    return rows.withColumn("batch", F.col("batch").cast("string")).join(known, "batch", "left_semi")
+
+
+def delete_cascade(doomed: DataFrame, path: str, partition: str) -> None:
+    """Remove the rows of doomed messages (column msg_id) from a stored table.
+
+    Only partitions that hold such rows are written again, in one dynamic
+    overwrite; partitions of which nothing is left are removed. Running it again
+    finds nothing to do, so a retry after a failure completes the work.
+    """
+    spark = doomed.sparkSession
+    table, keys = spark.read.parquet(path), doomed.select("msg_id").distinct()
+    touched = checkpointed(table.join(keys, "msg_id", "left_semi").select(partition).distinct())
+    kept = checkpointed(table.join(touched, partition, "left_semi").join(keys, "msg_id", "left_anti"))
+    kept.select(table.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    empty = touched.join(kept.select(partition).distinct(), partition, "left_anti").collect()  # at most one row a partition folder
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in empty:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{partition}={r[0]}"), True)
+
+
+def write_reports(documents: DataFrame, path: str) -> None:
+    """Report documents as JSON lines, one message a line."""
+    documents.select("report").write.mode("overwrite").text(path)
 
 
-def delete_cascade(doomed: DataFrame, *tables: DataFrame) -> list:
-    """Tables without the doomed messages (column msg_id)."""
-    keys = doomed.select("msg_id").distinct()
-    return [t.join(keys, "msg_id", "left_anti") for t in tables]
+def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -1,5 +1,6 @@
 """Structured Streaming jobs: online scoring, bounded lookups, bursts, daily counts."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,42 @@ def score_messages(stream: DataFrame, feed: DataFrame, path: str, checkpoint: st
     run_to_end(stream.writeStream.foreachBatch(handle), checkpoint)
 
 
-def lookups_within(stream: DataFrame, time: str, keys: list, ttl: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """One row per key and interval of event time, ``asked_for``: answers are kept until the interval ends.
+def lookups_within(stream: DataFrame, time: str, keys: list, ttl_seconds: int = 3600, delay: str = "1 hour") -> DataFrame:
+    """(keys, asked_at): a key is looked up when its last lookup is ``ttl_seconds`` old or there is none.
 
-    The interval is part of the key, so the rows do not depend on how the stream
-    is cut into batches; its state goes once the watermark has passed it.
+    State of a key: its last lookup, and the times that the watermark has not
+    passed yet. An event-time timer wakes the key when the watermark passes the
+    first of them; times are then decided in their order, so the answer does not
+    depend on how the stream is cut into batches.
     """
-    asked = stream.withWatermark(time, delay).withColumn("asked_for", F.window(time, ttl))
-    return asked.dropDuplicates([*keys, "asked_for"]).select(*keys, F.col("asked_for.start").alias("asked_for"))
+    ttl = ttl_seconds * 1_000_000
+
+    def decide(key, frames, state):
+        last, waiting = state.get if state.exists else (None, [])
+        times = set(waiting)
+        for frame in frames:
+            times.update(frame["_at"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        asked = []
+        for at in sorted(t for t in times if t < mark):
+            if last is None or at - last >= ttl:
+                last = at
+                asked.append(at)
+        waiting = sorted(t for t in times if t >= mark)
+        state.update((last, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0] // 1000, mark // 1000 + 1))
+        elif mark > 0:
+            state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, mark // 1000 + 1))  # nothing waits: forget the key once its answer is old
+            if state.hasTimedOut and last + ttl < mark:
+                state.remove()
+        yield pd.DataFrame({**{k: [v] * len(asked) for k, v in zip(keys, key)}, "_at": pd.Series(asked, dtype="int64")})
+
+    rows = stream.withWatermark(time, delay).select(*keys, time, F.unix_micros(time).alias("_at"))
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    out = rows.groupBy(*keys).applyInPandasWithState(
+        decide, ", ".join([*(f"{k} {types[k]}" for k in keys), "_at bigint"]), "last bigint, waiting array<bigint>", "append", "EventTimeTimeout")
+    return out.select(*keys, F.timestamp_micros("_at").alias("asked_at"))
 
 
 def bursts(stream: DataFrame, time: str, client: str, more_than: int = 30, width: str = "1 minute", slide: str | None = None,
