@@ -1,6 +1,5 @@
 """Weighted intent phrases and the findings they lead to."""
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import dimensions as D
@@ -77,8 +76,9 @@ def with_rule_scores(df: DataFrame) -> DataFrame:
                                 for n, (_, _, intents, _) in enumerate(D.INTENT_RULES)])
 
 
-def intent_finding(n: int) -> str:
-    detector, title, _, thresholds = D.INTENT_RULES[n]
+def intent_finding(n: int, spans: str | None = None) -> str:
+    """Finding of a content rule; with quotes as evidence if there is a column of spans."""
+    detector, title, ids, thresholds = D.INTENT_RULES[n]
     title = q(title)
     if detector == "content.financial_request":
         title = pick([("raw_bank_change > 0", q("Request to pay to changed bank details")),
@@ -86,7 +86,7 @@ def intent_finding(n: int) -> str:
     severity = pick([(f"_rule_{n} >= {minimum}D", q(s)) for s, minimum in thresholds])
     confidence = f"least(0.95D, {half_up(f'0.5D + _rule_{n} / 10', 2)})"
     return (f"CASE WHEN _rule_{n} >= {thresholds[-1][1]}D THEN "
-            f"{finding(detector, 'content', severity, confidence, title, 'content')} END")
+            f"{finding(detector, 'content', severity, confidence, title, 'content', *([quotes_of(ids, spans)] if spans else []))} END")
 
 
 def pressure_pattern() -> str:
@@ -98,36 +98,48 @@ def pressure_pattern() -> str:
                 "content_pattern") + " END")
 
 
-def content_findings() -> list:
+def content_findings(spans: str | None = None) -> list:
     """Content rules in registry order; each is null when it does not apply."""
-    rules = [intent_finding(n) for n in range(len(D.INTENT_RULES))]
+    rules = [intent_finding(n, spans) for n in range(len(D.INTENT_RULES))]
     return rules[:5] + [pressure_pattern()] + rules[5:]
 
 
-def spans_of(df: DataFrame, text: str = "text", max_spans: int | None = None) -> DataFrame:
-    """One row per accepted phrase span: msg_id, intent, start, end (code points), quote.
+SPAN = "array<struct<start: int, end: int, quote: string>>"
+
+
+def matches(text: str, pattern: str) -> str:
+    """array<struct<start, end, quote>> of all matches, offsets from the lengths of the pieces between them and of the matches before."""
+    found = f"regexp_extract_all({text}, {pattern}, 0)"
+    lengths = f"transform(split({text}, {pattern}, -1), x -> length(x)) AS g, {found} AS m"
+    start = "aggregate(slice(r.g, 1, i + 1), 0, (a, x) -> a + x) + aggregate(slice(r.m, 1, i), 0, (a, x) -> a + length(x))"
+    return (f"filter(transform(array(struct({lengths})), r -> transform(transform(r.m, (x, i) -> struct(x AS quote, {start} AS start)), "
+            "x -> struct(x.start AS start, x.start + length(x.quote) AS end, x.quote AS quote)))[0], x -> trim(x.quote) <> '')")
+
+
+def with_spans(df: DataFrame, text: str = "text", max_spans: int | None = None) -> DataFrame:
+    """Add ``spans``: array<struct<intent, start, end, quote>> of accepted phrase matches, offsets in code points.
 
-    Spark has no expression that returns the offsets of all matches, so the
-    first-come overlap rule runs in an Arrow-batched map over the messages.
+    Phrases of an intent have an order; a match is accepted when it overlaps with
+    none accepted before it. A substring test guards each expression.
     """
-    table = {i: [p for p, _ in phrases] for i, (_, phrases) in D.INTENTS.items()}
-
-    def scan(batches):
-        import re
-        compiled = {i: [re.compile(p, re.I | re.A) for p in ps] for i, ps in table.items()}
-        for pdf in batches:
-            rows = []
-            for msg, body in zip(pdf["msg_id"], pdf[text]):
-                for intent, patterns in compiled.items():
-                    taken = []
-                    for p in patterns:
-                        for m in p.finditer(body or ""):
-                            a, b = m.span()
-                            if m.group().strip() and not any(a < e and b > s for s, e in taken):
-                                if max_spans is None or len(taken) < max_spans:
-                                    taken.append((a, b))
-                    rows += [(msg, intent, a, b, body[a:b]) for a, b in sorted(taken)]
-            yield pd.DataFrame(rows, columns=["msg_id", "intent", "start", "end", "quote"])
-
-    return df.select("msg_id", text).mapInPandas(
-        scan, "msg_id long, intent string, start int, end int, quote string")
+    keep, none = list(df.columns), f"CAST(array() AS {SPAN})"
+    df = df.selectExpr("*", f"coalesce({text}, '') AS _text").selectExpr("*", "lower(_text) AS _low")
+    full = "false" if max_spans is None else f"size(t) >= {max_spans}"
+    cands, accepted = [], []
+    for i, (_, phrases) in D.INTENTS.items():
+        each = [f"IF({contains_any('_low', D.INTENT_ANCHORS[i][k])}, {matches('_text', q('(?i)' + ascii_words(p)))}, {none})" for k, (p, _) in enumerate(phrases)]
+        cands.append(f"flatten(array({', '.join(each)})) AS _c_{i}")
+        taken = (f"aggregate(_c_{i}, {none}, (t, c) -> IF({full} OR exists(t, x -> c.start < x.end AND c.end > x.start), t, concat(t, array(c))))")
+        accepted.append(f"transform({taken}, x -> struct({q(i)} AS intent, x.start AS start, x.end AS end, x.quote AS quote))")
+    return df.selectExpr(*keep, *cands).selectExpr(*keep, f"flatten(array({', '.join(accepted)})) AS spans")
+
+
+def spans_of(df: DataFrame, text: str = "text", max_spans: int | None = None) -> DataFrame:
+    """One row per accepted phrase span: msg_id, intent, start, end (code points), quote."""
+    return with_spans(df.select("msg_id", text), text, max_spans).selectExpr("msg_id", "inline(spans)")
+
+
+def quotes_of(intents: list, spans: str = "spans", most: int = 6) -> str:
+    """array<string> of the first distinct quotes of some intents, by place."""
+    own = f"filter({spans}, x -> x.intent IN ({', '.join(map(q, intents))}))"
+    return f"slice(array_distinct(transform(array_sort(transform({own}, x -> struct(x.start AS start, trim(x.quote) AS quote))), x -> x.quote)), 1, {most})"

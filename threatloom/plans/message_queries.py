@@ -218,7 +218,23 @@ def txt6(spark, d):
     return df.selectExpr("msg_id", *[f"round(raw_{i}, 4) AS raw_{i}" for i in D.INTENTS])
 
 
-@query("txt7_phrase_spans")
+def span_sql() -> str:
+    """CTE spans(msg_id, intent, s, e, q): matches of each phrase by their place, then the first-come choice in the order of phrases."""
+    each = []
+    for i, (_, phrases) in D.INTENTS.items():
+        for k, (p, _) in enumerate(phrases):
+            each.append(f"SELECT msg_id, '{i}' AS intent, {k} AS k, regexp_extract_all(text, {s('(?i)' + p)}) AS m, string_split_regex(text, {s('(?i)' + p)}) AS g "
+                        f"FROM messages WHERE regexp_matches(text, {s('(?i)' + p)})")
+    return f""", matched AS MATERIALIZED ({' UNION ALL '.join(each)}),
+placed AS (SELECT msg_id, intent, k, m[j] AS q, (list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM matched)),
+offered AS (SELECT msg_id, intent, list({{'s': s, 'e': s + length(q), 'q': q}} ORDER BY k, s) AS c FROM placed WHERE trim(q) <> '' GROUP BY msg_id, intent),
+spans AS MATERIALIZED (SELECT msg_id, intent, x.s AS s, x.e AS e, x.q AS q FROM (SELECT msg_id, intent, unnest(list_reduce(list_transform(c, lambda x: [x]),
+  lambda a, x: CASE WHEN len(list_filter(a, lambda t: t.s < x[1].e AND t.e > x[1].s)) > 0 THEN a ELSE list_concat(a, x) END)) AS x FROM offered))
+"""
+
+
+@query("txt7_phrase_spans", with_("messages") + span_sql() + "SELECT msg_id, intent, s AS start, e AS \"end\", q AS quote FROM spans")
 def txt7(spark, d):
     """Accepted spans per intent with code point offsets."""
     return intents.spans_of(fx.messages(spark, d))
@@ -239,7 +255,8 @@ def txt8(spark, d):
     return _with_intents(spark, d).selectExpr("msg_id", "call_to_action", *[f"round(score_{i}, 4) AS score_{i}" for i in D.INTENTS])
 
 
-@query("txt9_evidence_quotes")
+@query("txt9_evidence_quotes", with_("messages") + span_sql() + """SELECT msg_id, intent, array_to_string(list(quote ORDER BY first_at, quote)[1:6], ' | ') AS quotes FROM (
+  SELECT msg_id, intent, trim(q) AS quote, min(s) AS first_at FROM spans GROUP BY ALL) GROUP BY msg_id, intent""")
 def txt9(spark, d):
     """First six distinct quotes per message and intent."""
     spans = intents.spans_of(fx.messages(spark, d))
@@ -256,13 +273,19 @@ def txt10(spark, d):
     return header_facts(fx.messages(spark, d)).selectExpr("msg_id", f"{mentioned_brand('from_name', 'sender_brand')} AS brand")
 
 
-@query("int_agg_intent_finding", with_("content_findings") + """
-SELECT msg_id, detector, severity, confidence, title, score_group FROM content_findings""")
+@query("int_agg_intent_finding", with_("content_findings") + span_sql() + f"""
+, rules(detector, title, intent) AS (VALUES {', '.join(f"({s(det)}, {s(title)}, '{i}')" for det, title, ids, _ in D.INTENT_RULES for i in ids)}),
+quoted AS (SELECT msg_id, detector, title, array_to_string(list(quote ORDER BY first_at, quote)[1:6], ' | ') AS quotes FROM (
+  SELECT msg_id, detector, title, trim(q) AS quote, min(s) AS first_at FROM spans JOIN rules USING (intent) GROUP BY ALL) GROUP BY msg_id, detector, title)
+SELECT f.msg_id, f.detector, f.severity, f.confidence, f.title, f.score_group, coalesce(x.quotes, '') AS quotes FROM content_findings f
+LEFT JOIN quoted x ON x.msg_id = f.msg_id AND x.detector = f.detector AND (x.title = f.title OR f.detector = 'content.financial_request')""")
 def int_agg(spark, d):
+    """Findings of the content rules, with the quotes that they rest on."""
     from ..functions.sqltext import array_of
-    df = intents.with_rule_scores(_with_intents(spark, d))
-    return df.selectExpr("msg_id", f"inline({array_of(*intents.content_findings())})").select(
-        "msg_id", "detector", "severity", "confidence", "title", "score_group")
+    texts = intents.with_spans(fx.messages(spark, d).select("msg_id", "text")).select("msg_id", "spans")
+    df = intents.with_rule_scores(_with_intents(spark, d)).join(texts, "msg_id")
+    return df.selectExpr("msg_id", f"inline({array_of(*intents.content_findings('spans'))})").selectExpr(
+        "msg_id", "detector", "severity", "confidence", "title", "score_group", "array_join(evidence, ' | ') AS quotes")
 
 
 # ------------------------------------------------------------------ headers

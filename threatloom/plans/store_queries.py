@@ -11,6 +11,7 @@ from ..functions.urls import name_of
 from ..operators import intents, links, reputation, results, scoring
 from ..operators.detectors import explode_findings
 from ..oracle.cte import s, steady_up, with_
+from .message_queries import span_sql
 from ..sources import store
 from ..sources.shared import shared_dir
 from .analysis import corpus_verdicts, gather
@@ -435,7 +436,11 @@ def qry22(spark, d):
     return results.timeline(_v(spark, d)).withColumnRenamed("at", "moment")
 
 
-@query("qry23_evidence_segments")
+@query("qry23_evidence_segments", with_("messages") + span_sql() + """
+, cuts AS (SELECT msg_id, 0::BIGINT AS c FROM messages UNION SELECT msg_id, length(text) FROM messages UNION SELECT msg_id, s FROM spans UNION SELECT msg_id, e FROM spans),
+seg AS (SELECT msg_id, c AS a, lead(c) OVER (PARTITION BY msg_id ORDER BY c) AS b FROM cuts)
+SELECT g.msg_id, a AS start, b AS "end", coalesce(string_agg(DISTINCT intent, ',' ORDER BY intent), '') AS intents
+FROM seg g LEFT JOIN spans p ON p.msg_id = g.msg_id AND p.s <= a AND p.e >= b WHERE b IS NOT NULL GROUP BY g.msg_id, a, b""")
 def qry23(spark, d):
     """Elementary text segments with the intents that cover them."""
     m = fx.messages(spark, d)
