@@ -55,7 +55,7 @@ FREQUENT = 16
 #: Most sets and shingles of a tile of step 4, about.
 TILE, TILE_SHINGLES = 256, 150_000
 #: Tiles of a family that are sent together, about.
-SHELF = 8
+SHELF = 64
 
 
 def least(n, p: int, q: int):
