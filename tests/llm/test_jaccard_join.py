@@ -76,3 +76,21 @@ def test_fragments_sum_to_the_overlap(spark):
                                  "id long, n long, hashes array<long>")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 2)], "a long, b long")
     assert [tuple(r) for r in J.verified(pairs, sets, 75, 100).select("a", F.col("b")).collect()] == [(1, 2)]
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 900, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, int(n), replace=False)) for n in rng.integers(1, 880, 60)]
+    sets += [s[:max(1, len(s) * 9 // 10)] for s in sets[:30]] + [sets[0]]
+    counts = np.array([len(s) for s in sets])
+    bits, words = J.bitmaps(np.concatenate(sets), counts)
+    assert all(64 * w >= J.BITS * n and w & (w - 1) == 0 for w, n in zip(words.tolist(), counts.tolist()))
+    each = [b.tobytes() for b in np.split(bits, np.cumsum(words)[:-1])]
+    rows = J.pa.array([{"id": i, "n": int(n), "part": i, "bits": b} for i, (n, b) in enumerate(zip(counts, each))])
+    tile = J.Sketches(rows)
+    may = J.possible(tile, tile, 75, 100)
+    links = np.array([[100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    np.fill_diagonal(links, False)
+    assert links.sum() >= 60 and not (links & ~may).any()
+    assert may.sum() < links.size // 4  # it leaves most pairs out

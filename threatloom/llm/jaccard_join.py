@@ -16,7 +16,10 @@ it. Steps:
    order here has frequent shingles at the end, so that a widespread passage
    brings nothing together. A family is cut into tiles, and tiles of fitting sizes
    are compared, unless both are of one component: no link between components is
-   lost, and what leaves a task is a spanning forest, not pairs.
+   lost, and what leaves a task is a spanning forest, not pairs. Tiles are first
+   compared by parity bitmaps, some three bits a shingle: two bitmaps differ in at
+   most as many bits as their sets in shingles, so a pair whose bitmaps differ in
+   more than a link allows is none. Only sets with a pair left are sent whole.
 
 Overlaps are counted by fragments: the global order is cut into ranges, the
 overlap of a pair is counted in each apart, and summed by pair; by joins for the
@@ -55,7 +58,9 @@ FREQUENT = 16
 #: Most sets and shingles of a tile of step 4, about.
 TILE, TILE_SHINGLES = 256, 150_000
 #: Tiles of a family that are sent together, about.
-SHELF = 64
+SHELF = 32
+#: Bits of a bitmap for each shingle of its set, at least; rounded up to a power of two.
+BITS = 2
 
 
 def least(n, p: int, q: int):
@@ -181,12 +186,12 @@ def first_pairs(sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """Tiles of sets that may still link across components, and the pairs of tiles to compare.
+    """Tile and component of each set that may still link across components, and the pairs of tiles to compare.
 
     A family is what hangs together by shared leading shingles of sets of
     different components. It is cut by component (where one fills a tile), by
     size, by a shared shingle, and by id, so that no tile has more than about ``TILE`` sets or
-    ``TILE_SHINGLES`` shingles. Returns (tile, rows) and (a, b).
+    ``TILE_SHINGLES`` shingles. Returns (id, n, part, tile) and (a, b).
     """
     n = F.col("n")
     lead = F.least(n, n - F.ceil(n * p / F.lit(q)) + 1).cast("int")
@@ -201,7 +206,7 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
         families.selectExpr("node AS id", "root AS family"), "id")
     full = members.groupBy("family", "part").count().where(F.col("count") >= TILE // 2).select("family", "part", F.col("part").alias("own"))
     cut = members.join(full, ["family", "part"], "left").select(
-        "id", "n", "own", "first", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), F.floor(
+        "id", "n", "part", "own", "first", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), F.floor(
             F.log(n.cast("double")) / F.log(F.lit(q / p)))).alias("tile"))
     # Sets that share a shingle stay together as far as tiles have room; what is still too much is cut by id.
     for near in ("first", "id"):
@@ -215,17 +220,79 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
                    & (F.col("x.high") * q >= F.col("y.low") * p) & (F.col("y.high") * q >= F.col("x.low") * p)
                    & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))).select(
         F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
-    packed = placed.select("id", "tile").join(sets.select("id", "n", "hashes"), "id").groupBy("tile").agg(
-        F.collect_list(F.struct("id", "n", "hashes")).alias("rows"))
-    return checkpointed(packed), checkpointed(pairs)
+    return placed.select("id", "n", "part", "tile"), checkpointed(pairs)
+
+
+def bitmaps(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of sets, one after another, and the 64-bit words of each.
+
+    Bit j tells whether an odd number of shingles end in j, so the exclusive or of
+    two bitmaps is the bitmap of the symmetric difference. The number of words is
+    a power of two; a wider bitmap folds to a narrower one by exclusive or.
+    """
+    words = 1 << np.ceil(np.log2(np.maximum(counts * BITS / 64, 1))).astype(np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = hashes & (64 * words[owner] - 1).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(out, (np.cumsum(words) - words)[owner] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out, words
+
+
+def _bitmaps(batches):
+    for batch in batches:
+        counts = batch.column("n").to_numpy()
+        out, words = bitmaps(batch.column("hashes").flatten().to_numpy().view(np.uint64), counts)
+        ends = np.concatenate(([0], np.cumsum(8 * words))).astype(np.int32)
+        bits = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), bits], ["id", "bits"])
+
+
+class Sketches:
+    """Bitmaps of one tile, with the ids, sizes and components of their sets."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.ids, self.sizes, self.parts = (rows.field(c).to_numpy().astype(np.int64) for c in ("id", "n", "part"))
+        self.bits = [np.frombuffer(b, np.uint64) for b in rows.field("bits").to_pylist()]
+        self.width = min(len(b) for b in self.bits)
+        self.folds: dict = {}
+
+    def folded(self, width: int) -> np.ndarray:
+        """One row a word of ``width`` words, one column a set."""
+        if width not in self.folds:
+            self.folds[width] = np.array([np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in self.bits]).T.copy()
+        return self.folds[width]
+
+
+def possible(x: Sketches, y: Sketches, p: int, q: int) -> np.ndarray:
+    """Which sets of x may link with which of y, as far as sizes, components and bitmaps tell."""
+    width = min(x.width, y.width)
+    apart = np.zeros((len(x.ids), len(y.ids)), np.int64)
+    for u, v in zip(x.folded(width), y.folded(width)):
+        apart += np.bitwise_count(u[:, None] ^ v[None, :])
+    n, m = x.sizes[:, None], y.sizes[None, :]
+    fits = np.minimum(n, m) * q >= np.maximum(n, m) * p
+    return (apart * (p + q) <= (n + m) * (q - p)) & fits & (x.parts[:, None] != y.parts[None, :])
+
+
+def _possible_shelves(p, q):
+    def run(key: tuple, tiles: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {name: Sketches(rows.values) for name, rows in zip(tiles.column("tile").to_pylist(), tiles.column("rows"))}
+        out: dict = {"key": [], "a": [], "b": [], "xs": [], "ys": []}
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = held[a], held[b]
+            some = possible(x, y, p, q)
+            if some.any():
+                for name, value in zip(out, (key[0].as_py(), a, b, x.ids[some.any(axis=1)], y.ids[some.any(axis=0)])):
+                    out[name].append(value)
+        return pa.table(out, pa.schema([("key", pa.string()), ("a", pa.string()), ("b", pa.string()), ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))]))
+    return run
 
 
 class Tile:
     """Sets of one tile: their ids, sizes, and all shingles with the sets that they are from, sorted by shingle."""
 
-    def __init__(self, rows: pa.StructArray):
-        self.ids = rows.field("id").to_numpy()
-        hashes = rows.field("hashes")
+    def __init__(self, ids: pa.Array, hashes: pa.ListArray):
+        self.ids = ids.to_numpy()
         self.sizes = pa.compute.list_value_length(hashes).to_numpy().astype(np.int64)
         flat = hashes.flatten().to_numpy().view(np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -252,10 +319,11 @@ def overlaps(x: Tile, y: Tile) -> np.ndarray:
 
 
 def _linked_shelves(p, q):
-    def run(tiles: pa.Table, pairs: pa.Table) -> pa.Table:
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         held = {}
-        for name, rows in zip(tiles.column("tile").to_pylist(), tiles.column("rows")):
-            held[name] = Tile(rows.values)
+        for name in sets.column("tile").unique().to_pylist():
+            rows = sets.filter(pa.compute.equal(sets.column("tile"), name)).combine_chunks()
+            held[name] = Tile(rows.column("id").chunk(0), rows.column("hashes").chunk(0))
         first = dict(zip(held, np.cumsum([0, *(len(t.ids) for t in held.values())]).tolist()))
         every = np.concatenate([t.ids for t in held.values()])
         links = Links(len(every))
@@ -274,23 +342,29 @@ def _linked_shelves(p, q):
 def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
     """(a, b): links between sets of different components, as a spanning forest of each pair of shelves.
 
-    About ``SHELF`` tiles of a family stand on a shelf. A task gets two shelves
-    and compares the pairs of their tiles, so that a tile is sent once a shelf
-    that it meets, not once a tile.
+    About ``SHELF`` tiles of a family stand on a shelf. A task gets the bitmaps of
+    two shelves and compares the pairs of their tiles, so that a tile is sent once
+    a shelf that it meets, not once a tile. Then the sets that have a pair left go
+    there whole.
     """
-    packed, pairs = tiled(sets, parts, p, q)
-    family = F.substring_index("tile", "|", 1)
-    named = packed.select("tile", family.alias("family"))
-    shelves = checkpointed(named.join(named.groupBy("family").agg(F.ceil(F.count("*") / F.lit(SHELF)).alias("n")), "family").select(
+    placed, pairs = tiled(sets, parts, p, q)
+    tiles = placed.select("tile", F.substring_index("tile", "|", 1).alias("family")).distinct()
+    shelves = checkpointed(tiles.join(tiles.groupBy("family").agg(F.ceil(F.count("*") / F.lit(SHELF)).alias("n")), "family").select(
         "tile", F.concat_ws("|", "family", F.pmod(F.xxhash64("tile"), F.col("n"))).alias("shelf")))
     of_a, of_b = (shelves.select(F.col("tile").alias(s), F.col("shelf").alias(f"shelf_{s}")) for s in "ab")
     wanted = checkpointed(pairs.join(of_a, "a").join(of_b, "b").select(
-        "a", "b", F.concat_ws("#", F.least("shelf_a", "shelf_b"), F.greatest("shelf_a", "shelf_b")).alias("key")))
+        F.concat_ws("#", F.least("shelf_a", "shelf_b"), F.greatest("shelf_a", "shelf_b")).alias("key"), "a", "b"))
+    packed = checkpointed(placed.join(sets.select("id", "n", "hashes").mapInArrow(_bitmaps, "id bigint, bits binary"), "id").groupBy("tile").agg(
+        F.collect_list(F.struct("id", "n", "part", "bits")).alias("rows")))
+    # Sizes of tables are only estimated; packed tiles and whole sets must not be broadcast on an estimate.
     sent = wanted.select("key", F.explode(F.array("a", "b")).alias("tile")).distinct()
-    # Sizes of tables are only estimated; packed tiles must not be broadcast on an estimate.
     rows = packed.hint("merge").join(sent, "tile").select("key", "tile", "rows")
-    compared = wanted.select(F.col("key").alias("meeting"), "a", "b").groupBy("meeting")
-    found = rows.groupBy("key").cogroup(compared).applyInArrow(_linked_shelves(p, q), "a bigint, b bigint")
+    left = checkpointed(rows.groupBy("key").cogroup(wanted.withColumnRenamed("key", "meeting").groupBy("meeting")).applyInArrow(
+        _possible_shelves(p, q), "key string, a string, b string, xs array<bigint>, ys array<bigint>"))
+    sides = [left.select("key", F.col(side).alias("tile"), F.explode(ids).alias("id")) for side, ids in (("a", "xs"), ("b", "ys"))]
+    whole = checkpointed(sides[0].unionByName(sides[1]).distinct())
+    rows = sets.select("id", "hashes").hint("merge").join(whole, "id").select("key", "tile", "id", "hashes")
+    found = rows.groupBy("key").cogroup(left.select(F.col("key").alias("meeting"), "a", "b").groupBy("meeting")).applyInArrow(_linked_shelves(p, q), "a bigint, b bigint")
     return checkpointed(found)
 
 
