@@ -1,5 +1,6 @@
 """Groups, splits, windows, metrics, models and streams against brute force."""
 
+import importlib
 import math
 import random
 
@@ -10,6 +11,7 @@ from threatloom.functions.text import char_wb_grams
 from threatloom.learning import candidates as C
 from threatloom.operators import corpus, metrics, near_duplicates
 from threatloom.operators.components import components
+from threatloom.operators.joins import lookup
 from threatloom.operators.windows import bucketed_lag, running_total
 
 
@@ -34,6 +36,21 @@ def test_components(spark):
     assert got == smallest(nodes, [e for e in edges if e[0] != e[1]])
 
 
+def test_components_broadcast_no_large_hooks(spark, monkeypatch):
+    module = importlib.import_module("threatloom.operators.components")
+    plans = []
+
+    def seen(*args, **options):
+        df = lookup(*args, **options)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    monkeypatch.setattr(module, "lookup", seen)
+    n = 2 * module.BROADCAST_HOOKS
+    got = module.components(spark.range(1, n).selectExpr("id AS a", "-id % 7 AS b"))
+    assert {r["root"] for r in got.select("root").distinct().collect()} == {-6, -5, -4, -3, -2, -1, 0}
+    assert not any("BroadcastHashJoin" in p for p in plans[:2])
+
+
 def brute_groups(texts, threshold):
     """Connected groups over all pairs, per label, by the textbook formula."""
     from collections import Counter, defaultdict
