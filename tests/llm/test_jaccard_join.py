@@ -94,3 +94,18 @@ def test_bitmaps_never_differ_more_than_sets():
     np.fill_diagonal(links, False)
     assert links.sum() >= 60 and not (links & ~may).any()
     assert may.sum() < links.size // 4  # it leaves most pairs out
+
+
+def test_no_join_of_a_growing_table_is_a_broadcast(spark, monkeypatch):
+    plans, kept = [], J.checkpointed
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+    monkeypatch.setattr(J, "checkpointed", seen)
+    monkeypatch.setattr(J, "membership", lambda rows, ids, how: rows.join(ids.hint("merge"), ids.columns, how))  # bounded by its count
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {i % 7}") for i in range(60)], "doc_id long, text string")
+    got = J.linked(docs)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert not any("BroadcastHashJoin" in p for p in plans)

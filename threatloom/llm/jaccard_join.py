@@ -63,6 +63,11 @@ SHELF = 32
 BITS = 2
 
 
+def moved(table: DataFrame) -> DataFrame:
+    """A table that grows with the input, joined by shuffle: sizes are only estimated, and one that is small in its files may fill the driver."""
+    return table.hint("merge")
+
+
 def least(n, p: int, q: int):
     """Smallest overlap of a set of n with any set that it links with."""
     return -(-n * p // q)
@@ -127,8 +132,8 @@ def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Those of pairs(a, b) that are similar enough: overlaps by fragment of the order, summed by pair."""
     cut = [F.expr(f"filter(hashes, h -> shiftrightunsigned(h, {64 - FRAGMENT_BITS}) = {f})") for f in range(FRAGMENTS)]
     segments = sets.select("id", "n", F.posexplode(F.array(*cut)).alias("fragment", "segment")).where(F.size("segment") > 0)
-    left = pairs.join(segments.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("s_a")), "a")
-    both = left.join(segments.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
+    left = moved(pairs).join(segments.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("s_a")), "a")
+    both = moved(left).join(segments.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("s_b")), ["b", "fragment"])
     partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     return partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).where(
         F.col("common") * (p + q) >= (F.col("n_a") + F.col("n_b")) * p).select("a", "b")
@@ -145,7 +150,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, size: int, p: int, q: in
               .where("shared > 0").groupBy("id").agg(F.sum("shared").alias("shared")))
     # The prefix of the smallest partner is the shorter one.
     need = F.lit(1) + F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * p / F.lit(q)))
-    maybe = checkpointed(classes.join(counts, "id").where(F.col("shared") >= need).select(F.col("first_doc").alias("doc_id")).distinct())
+    maybe = checkpointed(classes.join(moved(counts), "id").where(F.col("shared") >= need).select(F.col("first_doc").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text")
     rows = membership(texts.where("doc_id IS NOT NULL"), maybe, "left_semi").unionByName(texts.where("doc_id IS NULL"))
     return checkpointed(rows.select("text").mapInArrow(_sets(size), "id bigint, n bigint, hashes array<bigint>").where("n > 0").dropDuplicates(["id"]))
@@ -161,10 +166,10 @@ def rare_first(sets: DataFrame) -> DataFrame:
     each = sets.select("id", F.explode("hashes").alias("h"))
     frequent = checkpointed(each.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h"))
     if frequent.count() > BROADCAST_IDS:
-        marked = each.join(frequent.withColumn("late", F.lit(1)), "h", "left").groupBy("id").agg(
+        marked = each.join(moved(frequent.withColumn("late", F.lit(1))), "h", "left").groupBy("id").agg(
             F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "h"))).alias("x"))
-        return sets.join(marked.select("id", F.transform("x", lambda e: e["h"]).alias("ordered")), "id")
-    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in frequent.collect()], dtype=np.int64)))
+        return moved(sets).join(marked.select("id", F.transform("x", lambda e: e["h"]).alias("ordered")), "id")
+    late = sets.sparkSession.sparkContext.broadcast(np.sort(frequent.toArrow().column("h").to_numpy()))
 
     def reorder(batches):
         for batch in batches:
@@ -182,7 +187,7 @@ def first_pairs(sets: DataFrame, p: int, q: int) -> DataFrame:
     rows = sets.select("id", "n", F.explode(F.slice("hashes", 1, FIRST)).alias("h"))
     first = rows.groupBy("h").agg(F.min(F.struct("id", "n")).alias("c"))
     fits = (F.least("n", "c.n") * q >= F.greatest("n", "c.n") * p) & (F.col("id") != F.col("c.id"))
-    return rows.join(first, "h").where(fits).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
+    return rows.join(moved(first), "h").where(fits).select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct()
 
 
 def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
@@ -196,27 +201,27 @@ def tiled(sets: DataFrame, parts: DataFrame, p: int, q: int) -> tuple[DataFrame,
     n = F.col("n")
     lead = F.least(n, n - F.ceil(n * p / F.lit(q)) + 1).cast("int")
     named = (rare_first(sets).select("id", "n", F.slice("ordered", F.lit(1), lead).alias("lead"))
-             .join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")))
+             .join(moved(parts.withColumnRenamed("node", "id")), "id", "left").withColumn("part", F.coalesce("root", "id")))
     rows = named.select("id", "n", "part", F.explode("lead").alias("h"))
     by_shingle = rows.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("id").alias("first")).where("x <> y")
-    live = rows.join(by_shingle.select("h", "first"), "h").select("id", "n", "part", "first")
+    live = rows.join(moved(by_shingle.select("h", "first")), "h").select("id", "n", "part", "first")
     edges = checkpointed(live.groupBy("id", "first").agg(F.first("n").alias("n"), F.first("part").alias("part")))
     families = components(edges.selectExpr("id AS a", "first AS b"))
     members = edges.groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.min("first").alias("first")).join(
-        families.selectExpr("node AS id", "root AS family"), "id")
+        moved(families.selectExpr("node AS id", "root AS family")), "id")
     full = members.groupBy("family", "part").count().where(F.col("count") >= TILE // 2).select("family", "part", F.col("part").alias("own"))
-    cut = members.join(full, ["family", "part"], "left").select(
+    cut = members.join(moved(full), ["family", "part"], "left").select(
         "id", "n", "part", "own", "first", F.concat_ws("|", "family", F.coalesce(F.col("own").cast("string"), F.lit("-")), F.floor(
             F.log(n.cast("double")) / F.log(F.lit(q / p)))).alias("tile"))
     # Sets that share a shingle stay together as far as tiles have room; what is still too much is cut by id.
     for near in ("first", "id"):
         crowd = cut.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).alias("salts"))
-        cut = checkpointed(cut.join(crowd, "tile").withColumn("tile", F.concat_ws("|", "tile", F.pmod(F.xxhash64(near), F.col("salts")))).drop("salts"))
+        cut = checkpointed(cut.join(moved(crowd), "tile").withColumn("tile", F.concat_ws("|", "tile", F.pmod(F.xxhash64(near), F.col("salts")))).drop("salts"))
     placed = cut
     about = placed.groupBy("tile").agg(F.first("own").alias("own"), F.min("n").alias("low"), F.max("n").alias("high"))
-    seen = checkpointed(edges.select("id", "first").join(placed.select("id", "tile"), "id").select("first", "tile").distinct().join(about, "tile"))
+    seen = checkpointed(edges.select("id", "first").join(moved(placed.select("id", "tile")), "id").select("first", "tile").distinct().join(moved(about), "tile"))
     x, y = seen.alias("x"), seen.alias("y")
-    pairs = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.tile") <= F.col("y.tile"))
+    pairs = x.join(moved(y), (F.col("x.first") == F.col("y.first")) & (F.col("x.tile") <= F.col("y.tile"))
                    & (F.col("x.high") * q >= F.col("y.low") * p) & (F.col("y.high") * q >= F.col("x.low") * p)
                    & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False))).select(
         F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
@@ -349,21 +354,20 @@ def tile_links(sets: DataFrame, parts: DataFrame, p: int, q: int) -> DataFrame:
     """
     placed, pairs = tiled(sets, parts, p, q)
     tiles = placed.select("tile", F.substring_index("tile", "|", 1).alias("family")).distinct()
-    shelves = checkpointed(tiles.join(tiles.groupBy("family").agg(F.ceil(F.count("*") / F.lit(SHELF)).alias("n")), "family").select(
+    shelves = checkpointed(tiles.join(moved(tiles.groupBy("family").agg(F.ceil(F.count("*") / F.lit(SHELF)).alias("n"))), "family").select(
         "tile", F.concat_ws("|", "family", F.pmod(F.xxhash64("tile"), F.col("n"))).alias("shelf")))
     of_a, of_b = (shelves.select(F.col("tile").alias(s), F.col("shelf").alias(f"shelf_{s}")) for s in "ab")
-    wanted = checkpointed(pairs.join(of_a, "a").join(of_b, "b").select(
+    wanted = checkpointed(pairs.join(moved(of_a), "a").join(moved(of_b), "b").select(
         F.concat_ws("#", F.least("shelf_a", "shelf_b"), F.greatest("shelf_a", "shelf_b")).alias("key"), "a", "b"))
-    packed = checkpointed(placed.join(sets.select("id", "n", "hashes").mapInArrow(_bitmaps, "id bigint, bits binary"), "id").groupBy("tile").agg(
+    packed = checkpointed(moved(placed).join(sets.select("id", "n", "hashes").mapInArrow(_bitmaps, "id bigint, bits binary"), "id").groupBy("tile").agg(
         F.collect_list(F.struct("id", "n", "part", "bits")).alias("rows")))
-    # Sizes of tables are only estimated; packed tiles and whole sets must not be broadcast on an estimate.
     sent = wanted.select("key", F.explode(F.array("a", "b")).alias("tile")).distinct()
-    rows = packed.hint("merge").join(sent, "tile").select("key", "tile", "rows")
+    rows = moved(packed).join(sent, "tile").select("key", "tile", "rows")
     left = checkpointed(rows.groupBy("key").cogroup(wanted.withColumnRenamed("key", "meeting").groupBy("meeting")).applyInArrow(
         _possible_shelves(p, q), "key string, a string, b string, xs array<bigint>, ys array<bigint>"))
     sides = [left.select("key", F.col(side).alias("tile"), F.explode(ids).alias("id")) for side, ids in (("a", "xs"), ("b", "ys"))]
     whole = checkpointed(sides[0].unionByName(sides[1]).distinct())
-    rows = sets.select("id", "hashes").hint("merge").join(whole, "id").select("key", "tile", "id", "hashes")
+    rows = moved(sets.select("id", "hashes")).join(whole, "id").select("key", "tile", "id", "hashes")
     found = rows.groupBy("key").cogroup(left.select(F.col("key").alias("meeting"), "a", "b").groupBy("meeting")).applyInArrow(_linked_shelves(p, q), "a bigint, b bigint")
     return checkpointed(found)
 
@@ -380,10 +384,10 @@ def linked(docs: DataFrame, similarity=SIMILARITY, size: int = SHINGLE) -> DataF
     far = tile_links(sets, parts, p, q)
     roots = components(near.unionByName(far))
     # A class has the smallest id of its component's classes.
-    tops = classes.join(roots.withColumnRenamed("node", "id"), "id").groupBy("root").agg(F.min("first_doc").alias("top"))
-    of_class = classes.join(roots.withColumnRenamed("node", "id").join(tops, "root").select("id", "top"), "id", "left").select(
+    tops = classes.join(moved(roots.withColumnRenamed("node", "id")), "id").groupBy("root").agg(F.min("first_doc").alias("top"))
+    of_class = classes.join(moved(roots.withColumnRenamed("node", "id").join(moved(tops), "root").select("id", "top")), "id", "left").select(
         "id", F.coalesce("top", "first_doc").alias("component_id"))
-    some = rows.where("n_shingles > 0").join(of_class, "id", "left").select("doc_id", "n_shingles", "component_id")
+    some = rows.where("n_shingles > 0").join(moved(of_class), "id", "left").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
