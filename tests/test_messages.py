@@ -5,10 +5,13 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from threatloom import dimensions as D
 from threatloom.functions import attachments as A
 from threatloom.functions import headers as H
 from threatloom.functions import text as X
 from threatloom.functions.html import inspect_html
+from threatloom.functions.sqltext import q
+from threatloom.operators import intents
 from threatloom.sources import mail
 
 
@@ -182,3 +185,18 @@ def test_char_grams(spark):
     assert one(spark, X.char_wb_grams("x", [5]), "ab hello") == [" ab ", " hell", "hello", "ello "]
     assert one(spark, X.char_wb_grams("x", [3, 4, 5]), "a") == [" a "]
     assert one(spark, X.char_wb_grams("x", [3, 4, 5]), "ab") == [" ab", "ab ", " ab "]
+
+
+def test_phrases_look_one_way_at_their_ends_and_need_their_words(spark):
+    """The plain boundary, taken at every end, finds the same; texts that match pass the test that saves the search."""
+    old = [(i, k, "(?i)" + p.replace(r"\b", X._BOUNDARY), "(?i)" + X.ascii_words(p)) for i, (_, ps) in D.INTENTS.items() for k, (p, _) in enumerate(ps)]
+    assert sum(X._BOUNDARY in new for *_, new in old) <= 3
+    rows = ["the code is one you can do today", "verify your password", "Pre-enter your pin.", "xverify your email", "DO NOT share it", "\u00e9share the OTP\u00e9",
+            "pay this big fee", "pay this fees", "within 3 hours_", "within the next 12 HRS", "it support", "exit support", "$5 gift cards", "you have won", "has been locked",
+            "new bank details", "customs duty", "the invoice is 3 days overdue", "final notice", "send me the codes"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for i, k, a, b in old:
+        got = df.selectExpr(f"regexp_extract_all(t, {q(a)}, 0) AS a", f"regexp_extract_all(t, {q(b)}, 0) AS b", f"{intents.may_hold('lower(t)', i, k)} AS may").collect()
+        assert all(r["a"] == r["b"] and (r["may"] or not r["a"]) for r in got), (i, k)
+    # Words that stand in most texts do not start a search by themselves.
+    assert df.selectExpr(f"count_if({intents.may_hold('lower(t)', 'mfa_request', 1)}) AS n").first()["n"] <= 2

@@ -4,12 +4,17 @@ from pyspark.sql import DataFrame
 
 from .. import dimensions as D
 from ..functions.sqltext import half_up, pick, q
-from ..functions.text import ascii_words, contains_any
+from ..functions.text import ascii_words, contains_each
 
 MASK = "\u0001"
 ASKS = ["credential_request", "mfa_request", "payment_request", "gift_card", "bank_change"]
 
 
+def may_hold(text: str, intent: str, k: int) -> str:
+    """Whether a lower-case text has the words that a phrase needs; only such texts are searched."""
+    return contains_each(text, D.INTENT_ANCHORS[intent][k], *[D.INTENT_ALSO[at] for at in [(intent, k)] if at in D.INTENT_ALSO])
+
+
 def raw_scores(df: DataFrame, text: str = "text", subject: str = "subject") -> DataFrame:
     """Add ``raw_<intent>`` columns: each phrase adds its weight once per message.
 
@@ -28,9 +33,8 @@ def raw_scores(df: DataFrame, text: str = "text", subject: str = "subject") -> D
         pattern = {i: q("(?i)" + ascii_words(D.INTENTS[i][1][level][0])) for i in live}
         hits = []
         for i in live:
-            words = D.INTENT_ANCHORS[i][level]
-            hits += [f"{contains_any('_low', words)} AND {body[i]} RLIKE {pattern[i]} AS _b_{i}",
-                     f"{contains_any('_subj', words)} AND _subj RLIKE {pattern[i]} AS _s_{i}"]
+            hits += [f"{may_hold('_low', i, level)} AND {body[i]} RLIKE {pattern[i]} AS _b_{i}",
+                     f"{may_hold('_subj', i, level)} AND _subj RLIKE {pattern[i]} AS _s_{i}"]
         df = df.selectExpr("*", *hits)
         masked = [f"IF(_b_{i}, regexp_replace({body[i]}, {pattern[i]}, {q(MASK)}), {body[i]}) AS _t_{i}_{level + 1}"
                   for i in more]
@@ -120,14 +124,15 @@ def with_spans(df: DataFrame, text: str = "text", max_spans: int | None = None)
     """Add ``spans``: array<struct<intent, start, end, quote>> of accepted phrase matches, offsets in code points.
 
     Phrases of an intent have an order; a match is accepted when it overlaps with
-    none accepted before it. A substring test guards each expression.
+    none accepted before it. A substring test guards each expression, and offsets are taken only of texts that match.
     """
     keep, none = list(df.columns), f"CAST(array() AS {SPAN})"
     df = df.selectExpr("*", f"coalesce({text}, '') AS _text").selectExpr("*", "lower(_text) AS _low")
     full = "false" if max_spans is None else f"size(t) >= {max_spans}"
     cands, accepted = [], []
     for i, (_, phrases) in D.INTENTS.items():
-        each = [f"IF({contains_any('_low', D.INTENT_ANCHORS[i][k])}, {matches('_text', q('(?i)' + ascii_words(p)))}, {none})" for k, (p, _) in enumerate(phrases)]
+        patterns = [q("(?i)" + ascii_words(p)) for p, _ in phrases]
+        each = [f"IF({may_hold('_low', i, k)} AND _text RLIKE {p}, {matches('_text', p)}, {none})" for k, p in enumerate(patterns)]
         cands.append(f"flatten(array({', '.join(each)})) AS _c_{i}")
         taken = (f"aggregate(_c_{i}, {none}, (t, c) -> IF({full} OR exists(t, x -> c.start < x.end AND c.end > x.start), t, concat(t, array(c))))")
         accepted.append(f"transform({taken}, x -> struct({q(i)} AS intent, x.start AS start, x.end AS end, x.quote AS quote))")

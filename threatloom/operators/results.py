@@ -43,12 +43,22 @@ def facets(verdicts: DataFrame, levels=(), classes=()) -> DataFrame:
     return verdicts
 
 
+def _of_months(verdicts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Leave out stored months before one date and after another; a table without months stays as it is."""
+    if "month" in verdicts.columns:
+        for sign, date in ((">=", start), ("<=", end)):
+            verdicts = verdicts.where(f"month {sign} trunc({date}, 'MM')") if date else verdicts
+    return verdicts
+
+
 def date_range(verdicts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Start inclusive, end exclusive; a date without time as end includes the whole day. Prunes day partitions."""
+    """Start inclusive, end exclusive; a date without time as end includes the whole day. Prunes month partitions."""
     if start:
+        verdicts = _of_months(verdicts, start=f"to_date(timestamp'{start}')")
         verdicts = verdicts.where(f"created_at >= timestamp'{start}' AND day >= to_date(timestamp'{start}')")
     if end:
         limit = f"timestamp'{end}'" + (" + INTERVAL 1 DAY" if len(end) == 10 else "")
+        verdicts = _of_months(verdicts, end=f"to_date({limit})")
         verdicts = verdicts.where(f"created_at < {limit} AND day <= to_date({limit})")
     return verdicts
 
@@ -121,7 +131,8 @@ def calendar(spark: SparkSession, today: str, days: int) -> DataFrame:
 
 def daily_history(verdicts: DataFrame, today: str, days: int = 30) -> DataFrame:
     """Zero-filled class counts of the last days."""
-    recent = verdicts.where(f"day > date'{today}' - INTERVAL {days} DAYS AND day <= date'{today}'")
+    recent = _of_months(verdicts, f"date'{today}' - INTERVAL {days} DAYS", f"date'{today}'")
+    recent = recent.where(f"day > date'{today}' - INTERVAL {days} DAYS AND day <= date'{today}'")
     daily = recent.groupBy("day").agg(*[F.count_if(F.col("classification") == c).alias(c) for c in D.CLASSIFICATIONS],
                                       F.count("*").alias("total"))
     return calendar(verdicts.sparkSession, today, days).join(daily, "day", "left").na.fill(0).withColumn(
