@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from threatloom.llm import personal_data as P
@@ -66,3 +67,29 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("text", ["write to john at example dot org", "write to john (at) example (dot) org", "write to john (AT) example dot org"])
 def test_spelled_addresses_are_candidates(text):
     assert ("address", 9, len(text)) in [c[:3] for c in P.candidates(text, P.base_spans(text))]
+
+
+def test_fitting_reads_every_document(spark, monkeypatch):
+    """All candidates are learnt from or held out, those of texts without a digit or an @ too."""
+    tables, kept = [], P.checkpointed
+
+    def seen(df):
+        out = kept(df)
+        tables.append(out)
+        return out
+    monkeypatch.setattr(P, "checkpointed", seen)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN concat('mail a', id, '@b.cc now') WHEN 1 THEN concat('order 123456', id) "
+                                        "ELSE 'password: swordfish' END AS text")
+    assert P.fit(docs) is not None
+    assert tables[0].count() >= 6000
+
+
+def test_threshold_is_the_lowest_with_the_wanted_precision(spark):
+    rng = np.random.default_rng(5)
+    score = np.round(rng.random(3000), 3)
+    label = (rng.random(3000) < score).astype(int)
+    df = spark.createDataFrame(list(zip(score.tolist(), label.tolist())), "score double, label int")
+    for precision in (0.6, 0.9, 0.97):
+        want = [s for s in np.unique(score) if label[score >= s].mean() >= precision]
+        assert P.lowest(df, precision) == (min(want) if want else None)
+    assert P.lowest(df.where("label = 0"), 0.5) is None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import lookup
 from ..sources.shared import checkpointed
 
-__all__ = ["attach", "byte_texts", "checkpointed", "hash_sample", "membership", "pieces", "read", "space_words", "spans_of_blocks"]
+__all__ = ["attach", "byte_texts", "checkpointed", "membership", "pieces", "read", "space_words", "spans_of_blocks"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,13 +50,6 @@ def membership(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
 
 
-def hash_sample(rows: DataFrame, key, size: int) -> DataFrame:
-    """About ``size`` rows, or all if there are fewer: those whose hashed key falls into the share that ``size`` is of all rows."""
-    n = rows.count()
-    parts = 1 << 30
-    return rows.where(F.pmod(key, F.lit(parts)) < F.lit(int(parts * min(1.0, size / max(n, 1)))))
-
-
 def byte_texts(batch: pa.RecordBatch, column: str) -> list:
     """Texts of an Arrow batch as bytes (null as empty)."""
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]

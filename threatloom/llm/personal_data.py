@@ -7,13 +7,13 @@ letters and digits, values after words like "password". Boosted trees judge a
 candidate by its format and context; those above a calibrated threshold become
 redactions too, best first, as long as they do not overlap.
 
-The trees are fitted on the candidates of a bounded sample of documents
-(``SAMPLE_DOCS``, by hash). A candidate counts as personal when
+The trees are fitted on the candidates of all documents but a held-out quarter
+(by hash of the id). A candidate counts as personal when
 it covers a base span or what follows a credential word; as ordinary otherwise.
 Whether a span passes its check is no feature, so the trees learn what such
-data look like. The threshold is the lowest with the wanted precision on the
-fold that the trees did not see. Fitting sees a fold of the sample; scoring
-covers every candidate of every whole text.
+data look like. The threshold is the lowest with the wanted precision over all
+candidates of that quarter, which the trees did not see; its running counts by score
+are taken bucket by bucket. Scoring covers every candidate of every whole text.
 
 Every scan is linear in the text: patterns have possessive runs or are anchored
 at a rare character, so a very long word costs no more than a long text.
@@ -36,12 +36,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import running_total
 from .catalogue import query
-from .common import checkpointed, hash_sample, pieces, read
+from .common import checkpointed, pieces, read
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "number", "token", "credential")
-SAMPLE_DOCS, PRECISION = 4000, 0.97
+PRECISION = 0.97
+#: Buckets of scores for the threshold.
+BUCKETS = 1000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -189,7 +192,7 @@ class Trees:
 
 
 def _training_rows(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         x, y, fold = [], [], []
         for key, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
             text = text or ""
@@ -201,24 +204,35 @@ def _training_rows(batches):
                                          ["x", "label", "fold"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, precision: float = PRECISION) -> tuple[Trees, float] | None:
-    """Trees and threshold from about ``sample`` documents with a digit or an @; None when they show only one class."""
-    rows = hash_sample(docs.where(F.col("text").rlike("[0-9@]")), F.xxhash64("doc_id", "text", F.lit(11)), sample).select(
-        "text", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(4)) == 0).cast("int").alias("fold"))
+def _scored(trees: Trees):
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(trees.score(x)), batch.column("label")], ["score", "label"])
+    return run
+
+
+def lowest(held: DataFrame, precision: float) -> float | None:
+    """Lowest score of held(score, label) from which on upwards the wanted share has label 1; None if there is none."""
+    points = checkpointed(held.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("hit"))).select(
+        "*", (-F.col("score")).alias("down"), F.floor(-F.col("score") * BUCKETS).alias("bucket"))
+    ran = running_total(points, [], "bucket", ["down"], {"n_above": "n", "hit_above": "hit"})
+    return ran.where((F.col("hit_above") + F.col("hit")) / (F.col("n_above") + F.col("n")) >= precision).agg(F.min("score")).first()[0]
+
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> tuple[Trees, float] | None:
+    """Trees and threshold from all documents; None when the part to learn from shows only one class."""
+    rows = docs.select("text", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(4)) == 0).cast("int").alias("fold"))
     spans = checkpointed(rows.mapInArrow(_training_rows, "x array<double>, label int, fold int"))
     seen = {(r["fold"], r["label"]) for r in spans.select("fold", "label").distinct().collect()}
     if not {(0, 0), (0, 1)} <= seen:
         return None
     train = spans.where("fold = 0").select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    trees = Trees(GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=3, maxMemoryInMB=64).fit(train.coalesce(2)))
-    held = spans.where("fold = 1").select("x", "label").toPandas()  # at most a quarter of the sample
-    if not len(held):
+    trees = Trees(GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.3, seed=3, maxMemoryInMB=64).fit(train))
+    if not any(fold for fold, _ in seen):
         return trees, 0.5
-    score, label = trees.score(np.array(held["x"].tolist())), held["label"].to_numpy()
-    order = np.argsort(-score, kind="stable")
-    right = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((right >= precision) & (np.append(np.diff(score[order]) < 0, True)))
-    return trees, max(0.5, float(score[order][good[-1]])) if len(good) else 1.1
+    low = lowest(spans.where("fold = 1").select("x", "label").mapInArrow(_scored(trees), "score double, label int"), precision)
+    return trees, 1.1 if low is None else max(0.5, low)
 
 
 def _found(model):
@@ -263,10 +277,10 @@ def best(more: list, score: np.ndarray, threshold: float, taken: list) -> list:
     return out
 
 
-def find_personal_data(docs: DataFrame, sample: int = SAMPLE_DOCS, precision: float = PRECISION) -> DataFrame:
+def find_personal_data(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    model = fit(docs, sample, precision)
+    model = fit(docs, precision)
     counts = ", ".join(f"n_{k} bigint" for k in BASE)
     return docs.mapInArrow(_found(model), f"doc_id bigint, {counts}, base_sha256 string, spans string")
 
