@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import char_wb_grams
+from threatloom.functions.text import blank_words, char_wb_grams
 from threatloom.learning import candidates as C
 from threatloom.operators import corpus, metrics, near_duplicates
 from threatloom.operators.components import components
@@ -186,3 +186,26 @@ def test_catalogue_is_consistent(spark, sf):
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 180
     assert {r["risk_level"] for r in e.entry(spark).collect()} == {"critical", "high", "medium", "low", "safe"}
+
+
+def test_near_duplicates_over_several_tiles(spark, monkeypatch):
+    """Few words make long lists of every gram; one tile gives a forest of edges, and several tiles give the same groups."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+    bases = [[rng.choice(words) for _ in range(30)] for _ in range(20)]
+    rows = [(i, "phishing", " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in rng.choice(bases))) for i in range(200)] + [(900, "phishing", None)]
+    df = spark.createDataFrame(rows, "doc long, label string, text string").cache()
+    want = brute_groups([r[:2] + (r[2] or "",) for r in rows], 0.8)
+    linked = [d for d, g in want.items() if d != g]
+    one = near_duplicates.edges(df).collect()
+    assert len(one) == len(linked) and all(r["a"] < r["b"] and r["cosine"] >= 0.8 - 1e-9 for r in one)
+    assert {r["doc"]: r["group"] for r in near_duplicates.groups(df).collect()} == want
+    monkeypatch.setattr(near_duplicates, "SMALL_CHARS", 8000)
+    assert near_duplicates.tiles(df, 0.8).count() > 3
+    assert {r["doc"]: r["group"] for r in near_duplicates.groups(df).collect()} == want
+
+
+def test_word_grams_are_those_of_the_expression(spark):
+    text = " Ab  abcde\tÀÉîœ x abcdefgh\n\x0b12 a"
+    got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{char_wb_grams('t', [5])} AS g", f"{blank_words('t')} AS w").first()
+    assert got["g"] == [g for w in got["w"] for g in near_duplicates.word_grams(w)]
