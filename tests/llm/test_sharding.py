@@ -47,3 +47,15 @@ def test_edges(spark):
     assert len({(r["shard"], r["slot"]) for r in rows}) == 6
     assert out.columns == ["doc_id", "text", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert S.shard_rows(docs.limit(0)).count() == 0
+
+
+def test_counts_reach_the_cluster_without_python_workers(spark, monkeypatch):
+    """Workers for a list of rows stayed beside the others of the executor, whose memory they share."""
+    from pyspark import SparkContext
+    docs = spark.sql("SELECT id AS doc_id, concat('t', id) AS text FROM range(60)")
+    calls = []
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, f=SparkContext.parallelize, **k: calls.append(a) or f(*a, **k))
+    rows = S.shard_rows(docs).collect()
+    assert not calls
+    assert sorted(Counter(r["shard"] for r in rows).values()) == [2] * 12 + [3] * 12
+    assert S.shard_rows(docs.limit(0)).collect() == []

@@ -18,6 +18,7 @@ result column is replaced.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 7, payload: bool =
     counts = {r["part"]: r["n"] for r in slim.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS
     parts = sorted(counts)
     upto = np.cumsum(matrix([counts[p] for p in parts], shards, seed), axis=1)
-    sent = spark.createDataFrame([(p, u) for p, u in zip(parts, upto.tolist())], "part int, upto array<bigint>")
+    # From Arrow: a list of rows would go through Python workers, which then stay beside those of the stages before.
+    sent = spark.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "upto": pa.array(upto.tolist(), pa.list_(pa.int64()))}))
     # First slot of each bucket; equal keys mean equal buckets, so ties in the deal do not change these counts.
     sizes = dealt(slim, sent).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = sizes.select("shard", "bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
