@@ -200,3 +200,20 @@ def test_phrases_look_one_way_at_their_ends_and_need_their_words(spark):
         assert all(r["a"] == r["b"] and (r["may"] or not r["a"]) for r in got), (i, k)
     # Words that stand in most texts do not start a search by themselves.
     assert df.selectExpr(f"count_if({intents.may_hold('lower(t)', 'mfa_request', 1)}) AS n").first()["n"] <= 2
+
+
+def test_phrases_look_at_their_first_letter_first(spark):
+    """Searches end at most places after one table look; what they find is what a written class and no look find."""
+    cls = "[A-Za-z0-9_]"
+    plain = f"(?:(?<={cls})(?!{cls})|(?<!{cls})(?={cls}))"
+    phrases = [p for _, ps in D.INTENTS.values() for p, _ in ps]
+    made = [X.ascii_words(p) for p in phrases]
+    assert sum(m.startswith("(?=[") for m in made) >= len(made) - 2 and not any("A-Z" in m for m in made)
+    assert X.ascii_words(r"\b(?:re-?enter|act (?:now|on))\b") == r"(?=[ARar])(?<!\w)(?:re-?enter|act (?:now|on))(?!\w)"
+    assert X.ascii_words(r"\ba?sap\b").startswith(X._BOUNDARY)
+    rows = ["KEEP this quiet", "Keep this quiet", "ékeep it private", "keep it privateé", "_keep it private", "re-enter your pin and re-register your MFA", "ſign in here",
+            "Sign in here", "Act now, asap. ASAP_ 1asap", "Wire transfer, late FEES", "irs İrs IRS", "You've won; you HAVE been selected", "Part-time job: work from home", None, ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for p, m in zip(phrases, made):
+        old = "(?i)" + p.replace(r"\b", plain)
+        assert df.where(f"NOT regexp_extract_all(t, {q(old)}, 0) <=> regexp_extract_all(t, {q('(?i)' + m)}, 0)").isEmpty(), p
