@@ -209,3 +209,23 @@ def test_word_grams_are_those_of_the_expression(spark):
     text = " Ab  abcde\tÀÉîœ x abcdefgh\n\x0b12 a"
     got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{char_wb_grams('t', [5])} AS g", f"{blank_words('t')} AS w").first()
     assert got["g"] == [g for w in got["w"] for g in near_duplicates.word_grams(w)]
+
+
+def test_kept_texts_are_not_shuffled_to_their_ids(spark, tmp_path, monkeypatch):
+    """Few ids go to the texts, whatever Spark's own limit for broadcasts; many are joined by shuffle, with the same rows."""
+    from threatloom.operators import joins
+    from threatloom.plans import corpus_queries as Q
+    words = "please verify that you have the account and the password for this"
+    spark.sql(f"SELECT id AS doc_id, concat('{words} ', repeat(chr(97 + CAST(id % 7 AS INT)), 12)) AS text FROM range(40) UNION ALL SELECT 3, '{words} again' "
+              "UNION ALL SELECT NULL, 'x' UNION ALL SELECT 99, NULL").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = Q.first_texts(spark, str(tmp_path))
+        assert "LeftSemi, BuildRight" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(joins, "BROADCAST_IDS", 0)
+        many = Q.first_texts(spark, str(tmp_path))
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert few.count() > 10 and sorted(few.collect()) == sorted(many.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

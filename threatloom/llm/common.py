@@ -7,17 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup
+from ..operators.joins import BROADCAST_IDS, lookup, membership
 from ..sources.shared import checkpointed
 
-__all__ = ["attach", "byte_texts", "checkpointed", "membership", "pieces", "read", "space_words", "spans_of_blocks"]
+__all__ = ["BROADCAST_IDS", "attach", "byte_texts", "checkpointed", "membership", "pieces", "read", "space_words", "spans_of_blocks"]
 
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join with at most this many rows may be broadcast.
 BROADCAST_ROWS = 100_000
-#: A set of 64-bit ids of at most this size may be broadcast.
-BROADCAST_IDS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,15 +39,6 @@ def attach(facts: DataFrame, dim: DataFrame, key: str, row_id: list, rows: int)
     return lookup(facts, right, key, "_dim_key", row_id).drop("_dim_key")
 
 
-def membership(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Left semi or anti join of texts to a stored table of ids under its one column's name.
-
-    Up to BROADCAST_IDS ids are broadcast, so that texts stay where they are;
-    more are joined by shuffle.
-    """
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
-
-
 def byte_texts(batch: pa.RecordBatch, column: str) -> list:
     """Texts of an Arrow batch as bytes (null as empty)."""
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
