@@ -205,6 +205,34 @@ def test_near_duplicates_over_several_tiles(spark, monkeypatch):
     assert {r["doc"]: r["group"] for r in near_duplicates.groups(df).collect()} == want
 
 
+def test_tiles_are_sent_once_a_shelf(spark, monkeypatch):
+    """More tiles than shelves: every pair of tiles meets once, no tile is sent to every other one, and groups stay right."""
+    for shelves in (2, 3, 4, 7):
+        pairs = [(p, q) for q in range(shelves) for p in range(q)]
+        assert all(sum(near_duplicates.met_here(a, b, shelves, p, q) for p, q in pairs) == (a < b) for a in range(12) for b in range(12))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    bases = [[rng.choice(words) for _ in range(30)] for _ in range(20)]
+    rows = [(i, rng.choice(["phishing", "legitimate"]) if i < 300 else "one tile", " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in rng.choice(bases)))
+            for i in range(305)]
+    df = spark.createDataFrame(rows, "doc long, label string, text string").cache()
+    monkeypatch.setattr(near_duplicates, "SMALL_CHARS", 3000)
+    made = near_duplicates.tiles(df, 0.8)
+    n = {r["label"]: r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert n["phishing"] > 5 and n["legitimate"] > 5 and n["one tile"] == 1
+    times = near_duplicates.meetings(made).groupBy("label", "tile").count().collect()
+    assert len(times) == n["phishing"] + n["legitimate"] and {r["count"] for r in times} == {near_duplicates.SHELVES - 1}
+    got = {r["doc"]: r["group"] for r in near_duplicates.groups(df).collect()}
+    assert got == {d: g for label in n for d, g in brute_groups([r for r in rows if r[1] == label], 0.8).items()}
+
+
+def test_gates_make_an_expression_of_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "a", "please verify that you have the account and the password for this now"), (2, "a", None)], "doc long, label string, text string")
+    kept = corpus.gated(rows.selectExpr("doc", "label", "regexp_replace(text, 'now', '') AS text")).where("drop_reason IS NULL").selectExpr("doc", "sha2(text, 256) AS hash")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["doc"] for r in kept.where("hash IS NOT NULL").collect()] == [1]
+
+
 def test_word_grams_are_those_of_the_expression(spark):
     text = " Ab  abcde\tÀÉîœ x abcdefgh\n\x0b12 a"
     got = spark.createDataFrame([(text,)], "t string").selectExpr(f"{char_wb_grams('t', [5])} AS g", f"{blank_words('t')} AS w").first()
