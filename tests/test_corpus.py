@@ -257,3 +257,26 @@ def test_kept_texts_are_not_shuffled_to_their_ids(spark, tmp_path, monkeypatch):
         assert few.count() > 10 and sorted(few.collect()) == sorted(many.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_tile_and_pair_of_shelves_is_a_partition(spark, monkeypatch):
+    """Hashed to partitions, some held several tiles or pairs of shelves, which one task then took one after the other."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    rows = [(i, ("a", "b", "c", None)[min(i % 5, 3)], " ".join(rng.choice(words) for _ in range(30))) for i in range(300)]
+    monkeypatch.setattr(near_duplicates, "SMALL_CHARS", 3000)
+    made = near_duplicates.tiles(spark.createDataFrame(rows, "doc long, label string, text string"), 0.8)
+    sent = near_duplicates.meetings(made).withColumn("at", F.spark_partition_id())
+    per = [{(r["label"], r["p"], r["q"]) for r in part} for part in sent.select("label", "p", "q").rdd.glom().collect()]
+    assert [len(x) for x in per] == [1] * len(per) and len(set().union(*per)) == len(per) == 3 * near_duplicates.SHELVES * (near_duplicates.SHELVES - 1) // 2
+    assert sent.select("at").distinct().count() == len(per)
+    files = {r["f"]: r["n"] for r in made.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    assert sum(files.values()) == made.count() == made.select("label", "tile").distinct().count()
+
+
+def test_labels_of_one_tile_have_no_meetings(spark):
+    df = spark.createDataFrame([(1, "a", "one two three four"), (2, "a", "one two three four"), (3, "b", "five six"), (4, None, "seven")],
+                               "doc long, label string, text string")
+    assert near_duplicates.meetings(near_duplicates.tiles(df, 0.8)).count() == 0
+    assert [(r["a"], r["b"]) for r in near_duplicates.edges(df).collect()] == [(1, 2)]
+    assert near_duplicates.edges(df.limit(0)).count() == 0
