@@ -280,3 +280,35 @@ def test_labels_of_one_tile_have_no_meetings(spark):
     assert near_duplicates.meetings(near_duplicates.tiles(df, 0.8)).count() == 0
     assert [(r["a"], r["b"]) for r in near_duplicates.edges(df).collect()] == [(1, 2)]
     assert near_duplicates.edges(df.limit(0)).count() == 0
+
+
+def test_gram_vectors_match_brute_force(spark, monkeypatch):
+    """No gram of a text is a row of its own on its way to the vector; the plan had each as a row."""
+    from collections import Counter
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdéf") for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    rows = [(i, "ab"[i % 2], " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(80)] + [(90, "a", "zzzzzzzz"), (91, "a", None), (92, None, "abc abc")]
+    monkeypatch.setattr(near_duplicates, "SMALL_CHARS", 1500)
+    monkeypatch.setattr(near_duplicates, "VECTORS", 7)
+    made = near_duplicates.gram_vectors(spark.createDataFrame(rows, "doc long, label string, text string"))
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0] and near_duplicates.VECTORS == 7
+    got = {(r["label"], r["doc"]): [(x["df"], x["term"], x["w"]) for x in r["v"]] for r in made.collect()}
+    want = {}
+    for label in "ab":
+        tf = {d: Counter(g for w in (t or "").split() for g in near_duplicates.word_grams(w)) for d, x, t in rows if x == label}
+        df = Counter(g for c in tf.values() for g in c)
+        for d, c in tf.items():
+            w = {g: n * (math.log((1 + len(tf)) / (1 + df[g])) + 1) for g, n in c.items() if df[g] >= 2}
+            norm = math.sqrt(sum(x * x for x in w.values()))
+            if w:
+                want[label, d] = sorted((df[g], g, x / norm) for g, x in w.items())
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert [x[:2] for x in got[k]] == [x[:2] for x in v] and [x[2] for x in got[k]] == pytest.approx([x[2] for x in v])
+
+
+def test_texts_of_one_id_share_one_vector(spark):
+    rows = [(1, "a", "hello there"), (1, "a", "hello you"), (2, "a", "hello there")]
+    got = {r["doc"]: r["v"] for r in near_duplicates.gram_vectors(spark.createDataFrame(rows, "doc long, label string, text string")).collect()}
+    assert set(got) == {1, 2} and all(sum(x["w"] ** 2 for x in v) == pytest.approx(1) for v in got.values())
+    assert [x["term"] for x in got[1]].count(" hell") == 2 and [x["term"] for x in got[2]].count(" hell") == 1
