@@ -79,3 +79,22 @@ def test_verdicts_take_a_folder_a_month(spark, sf, tmp_path):
     assert f.where("month <> trunc(day, 'MM') OR day <> to_date(created_at)").count() == 0
     wanted = "created_at >= timestamp'2024-01-02' AND created_at < timestamp'2024-01-04'"
     assert sorted(results.date_range(v, "2024-01-02", "2024-01-03").select("msg_id").collect()) == sorted(v.where(wanted).select("msg_id").collect())
+
+
+def test_a_batch_of_messages_is_not_kept_in_the_executors(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from threatloom import fixtures as fx
+    from threatloom.plans import stream_queries as Q
+    from threatloom.streaming import jobs
+    cached = []
+
+    def seen(rows, path, batch=None):
+        cached.append("InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString())
+        rows.select("msg_id", "classification").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    monkeypatch.setattr(jobs, "write_verdicts", seen)
+    few = Q.arriving(spark, sf).where("msg_id < 20")
+    jobs.score_messages(Q._as_stream(spark, few, str(tmp_path)), fx.dim(spark, "dim_reputation"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert cached == [False]
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == few.count() == got.agg(F.countDistinct("msg_id")).first()[0]
