@@ -127,3 +127,12 @@ def test_contributions(spark, made):
         assert {t["name"]: t["contribution"] for t in r["structural"]} == pytest.approx(dict(of("structural")))
     places = [x for x in C.explain(C.contributions(space, single, feats.where("doc <> 8"), weights)).collect() if x["doc"] == 9]
     assert {x["kind"] for x in places} == {"structural"} and sorted(x["place"] for x in places) == [*range(1, len(places) + 1)]
+
+
+def test_coverage_by_few_terms_moves_no_term(spark):
+    from threatloom.operators.terms import coverage
+    docs = spark.createDataFrame([(1, ["a", "a", "b", "x"]), (2, []), (3, None), (4, ["x", None]), (5, ["b", "b"]), (5, ["x"]), (None, ["a"])], "doc long, terms array<string>")
+    vocab = spark.createDataFrame([("a",), ("b",)], "term string")
+    few = coverage(docs, vocab, "doc", few=True)
+    assert sorted(few.collect(), key=str) == sorted(coverage(docs, vocab, "doc").collect(), key=str) and {r["doc"]: r["coverage"] for r in few.collect()}[1] == 0.75
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
