@@ -136,3 +136,12 @@ def test_coverage_by_few_terms_moves_no_term(spark):
     few = coverage(docs, vocab, "doc", few=True)
     assert sorted(few.collect(), key=str) == sorted(coverage(docs, vocab, "doc").collect(), key=str) and {r["doc"]: r["coverage"] for r in few.collect()}[1] == 0.75
     assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_stored_not_vectors(made, monkeypatch):
+    """Stored vectors took eight times the room of their texts."""
+    texts, feats, _, space = made
+    stored = []
+    monkeypatch.setattr(S, "BATCH", 4)
+    monkeypatch.setattr(S, "checkpointed", lambda df, f=S.checkpointed: stored.append(df.schema.names) or f(df))
+    assert space.vectors(texts, feats).columns == ["doc", "features"] and stored == [["doc", "structural", "steps", "tf"]]
